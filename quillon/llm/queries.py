@@ -8,23 +8,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, simhash
-from quillon.llm.common import table
+from quillon.llm import language_id, ngram_lm, packing, quality, simhash
+from quillon.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 5) == 0
+    found = language_id.predict(docs, language_id.profiles(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), modulus=7, held=2)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_components, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op4_rank_order_language, op9_best_fit_packing, op10_backoff_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
