@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language_id, ngram_lm, packing, quality, simhash
+from quillon.llm import cross_polytope, language_id, ngram_lm, packing, quality, simhash, toxicity
 from quillon.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 5) == 0
@@ -30,6 +34,14 @@ def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op4_rank_order_language, op9_best_fit_packing, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
