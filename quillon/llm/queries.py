@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import cross_polytope, language_id, ngram_lm, packing, quality, simhash, toxicity
+from quillon.llm import cross_polytope, language_id, ngram_lm, packing, quality, secrets, simhash, toxicity
 from quillon.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.PATTERNS))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op8_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 5) == 0
@@ -51,7 +58,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op5_randomness_battery, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
