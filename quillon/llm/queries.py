@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import cross_polytope, language_id, ngram_lm, packing, quality, secrets, simhash, toxicity
+from quillon.llm import cross_polytope, language_id, mixing, ngram_lm, packing, quality, secrets, simhash, toxicity
 from quillon.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,24 @@ def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+#: Wanted shares of expected tokens, by quality and toxicity of the labels.
+TARGETS = {"clean-high": 0.8, "clean-low": 0.15, "toxic": 0.05}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) from the table of labels; null labels have no domain."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when((F.col("toxic") == 0) & (F.col("quality") == 1), "clean-high").when((F.col("toxic") == 0) & (F.col("quality") == 0), "clean-low")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mix = mixing.mixture(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    row = mix.rates().withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    names = [F.col(f"p_{k}").alias("p_" + d.replace("-", "_")) for k, d in enumerate(mix.domains)]
+    return row.select("doc_id", "n_tokens", *names, "rate")
+
+
 def op8_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 5) == 0
@@ -58,7 +76,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op5_randomness_battery, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op5_randomness_battery, op6_soft_membership_mixing, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
