@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import cross_polytope, language_id, mixing, ngram_lm, packing, quality, secrets, simhash, toxicity
+from quillon.llm import cross_polytope, language_id, mixing, ngram_lm, packing, quality, secrets, simhash, suffix_dedup, toxicity
 from quillon.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("doc_id", "n_tokens", *names, "rate")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 5) == 0
@@ -76,8 +80,24 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op5_randomness_battery, op6_soft_membership_mixing, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
+    return {f.__name__: f for f in (op1_mcd_outliers, op2_simhash_components, op3_cross_polytope_neighbours, op4_rank_order_language, op5_randomness_battery, op6_soft_membership_mixing, op7_suffix_array_dedup, op8_subsequence_kernel, op9_best_fit_packing, op10_backoff_automaton)}
+
+
+#: Every 50-byte string by brute force; texts as hexadecimal digits, two for each byte.
+OP7_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as at from d where length(h) >= 100),
+w as (select doc_id, at, md5_number(substr(h, cast(2 * at + 1 as int), 100)) as k from p),
+l as (select k, min(doc_id) as first from w group by k having min(doc_id) < max(doc_id)),
+g as (select doc_id, at from w join l using (k) where doc_id > first),
+m as (select doc_id, at, sum(case when at <= before + 50 then 0 else 1 end) over (partition by doc_id order by at) as run from (select doc_id, at, coalesce(lag(at) over (partition by doc_id order by at), -100) as before from g)),
+r as (select doc_id, min(at) as a, max(at) + 50 as z from m group by doc_id, run),
+c as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as kept_from from r),
+k as (select doc_id, string_agg(substr(h, cast(2 * kept_from + 1 as int), cast(2 * (a - kept_from) as int)), '' order by a) as head, max(z) as tail, sum(z - a) as n_removed, count(*) as n_spans from c join d using (doc_id) group by doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+ sha256(unhex(case when k.doc_id is null then h else head || substr(h, cast(2 * tail + 1 as int)) end)) as kept_sha256
+from d left join k using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_suffix_array_dedup": OP7_SQL}
