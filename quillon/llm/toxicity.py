@@ -30,7 +30,7 @@ labels of both classes every score is 0.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,7 +44,7 @@ DECAY = 0.7
 SPAN = 8
 WINDOW = 24
 SYMBOLS = 64
-MAX_ROWS = 3000
+MAX_ROWS = 2000
 _EDGE = ".,;:!?\"'()[]{}<>«»¡¿…*#$%&|-_"
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?![^\s.,;:!?])")
 _CACHE = 200_000
@@ -206,7 +206,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -40, 40)))
 
 
-def train(texts: list[list[str]], labels: list[int], landmarks: int = 256, rounds: int = 4) -> Model | None:
+def train(texts: Iterable[list[str]], labels: list[int], landmarks: int = 256, rounds: int = 4) -> Model | None:
     """Fit on the units of labelled texts; None without both classes."""
     y = np.array(labels)
     if not (y > 0).any() or not (y == 0).any():
@@ -236,11 +236,10 @@ def train(texts: list[list[str]], labels: list[int], landmarks: int = 256, round
     kmm = gram(marks, marks)
     value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-3))
-    tables = np.stack([_embedding(m) for m in marks], axis=1)
 
     rng = np.random.default_rng(0)
     positive = set(seed.tolist())
-    negative = set(common_clean[:2000].tolist()) | set(rng.choice(common_clean, min(len(common_clean), 8000), replace=False).tolist())
+    negative = set(common_clean[:2000].tolist()) | set(rng.choice(common_clean, min(len(common_clean), 6000), replace=False).tolist())
     table, bias = np.zeros(SYMBOLS**3), 0.0
     decision = np.zeros(len(words))
     for _ in range(rounds):
@@ -252,7 +251,9 @@ def train(texts: list[list[str]], labels: list[int], landmarks: int = 256, round
         often = np.clip(toxic[pos + neg] / max(1.0, toxic[pos].mean()), 0.5, 30)
         cost = np.where(sign > 0, min(10.0, max(1.0, len(neg) / len(pos))) * often, 1.0)
         w = svm(x, sign, cost)
-        table, bias = tables @ (root @ w[:-1]), float(w[-1])
+        table, bias = np.zeros(SYMBOLS**3), float(w[-1])
+        for mark, a in zip(marks, root @ w[:-1], strict=True):
+            table += a * _embedding(mark)
         decision = linear(table, bias, words)
         for b, label in zip(bag, y, strict=True):
             own = b[long[b]]
@@ -261,7 +262,7 @@ def train(texts: list[list[str]], labels: list[int], landmarks: int = 256, round
                 if clean[k] == 0 and decision[k] > -0.2:
                     positive.add(k)
         hard = np.flatnonzero((clean > 0) & (decision > -0.7))
-        negative |= set(hard[np.argsort(-decision[hard], kind="stable")][:8000].tolist())
+        negative |= set(hard[np.argsort(-decision[hard], kind="stable")][:5000].tolist())
     best = np.array([decision[b].max() if len(b) else bias for b in bag])
     return Model(table, bias, *logistic(best, y))
 
@@ -279,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["y", "units"])
 
     got = rows.mapInArrow(run, "y int, units string").orderBy("y", F.xxhash64("units"), "units").limit(2 * max_rows).collect()
-    return train([r["units"].split("\n") if r["units"] else [] for r in got], [r["y"] for r in got])
+    return train((r["units"].split("\n") if r["units"] else [] for r in got), [r["y"] for r in got])
 
 
 def score_batches(model: Model | None, column: int, extend):
