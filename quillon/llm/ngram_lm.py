@@ -181,7 +181,7 @@ class Automaton:
         return np.log10(p)
 
 
-def _score(order: int, n: int, v: int, texts_in_training: int, prior: float, kind: pa.DataType | None = None):
+def _score(order: int, n: int, v: int, texts_in_training: int, prior: float):
     def run(block: pa.Table, slices: pa.Table) -> pa.Table:
         ids = block.column("doc_id").combine_chunks()
         keys, places, tokens, ends, before = _block_keys(common.texts(block, "text"), order)

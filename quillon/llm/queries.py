@@ -86,12 +86,12 @@ def queries() -> dict[str, Query]:
 #: Every 50-byte string by brute force; texts as hexadecimal digits, two for each byte.
 OP7_SQL = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-p as (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as at from d where length(h) >= 100),
-w as (select doc_id, at, md5_number(substr(h, cast(2 * at + 1 as int), 100)) as k from p),
+p as (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as i from d where length(h) >= 100),
+w as (select doc_id, i, md5_number(substr(h, cast(2 * i + 1 as int), 100)) as k from p),
 l as (select k, min(doc_id) as first from w group by k having min(doc_id) < max(doc_id)),
-g as (select doc_id, at from w join l using (k) where doc_id > first),
-m as (select doc_id, at, sum(case when at <= before + 50 then 0 else 1 end) over (partition by doc_id order by at) as run from (select doc_id, at, coalesce(lag(at) over (partition by doc_id order by at), -100) as before from g)),
-r as (select doc_id, min(at) as a, max(at) + 50 as z from m group by doc_id, run),
+g as (select doc_id, i from w join l using (k) where doc_id > first),
+m as (select doc_id, i, sum(case when i <= prior + 50 then 0 else 1 end) over (partition by doc_id order by i) as run from (select doc_id, i, coalesce(lag(i) over (partition by doc_id order by i), -100) as prior from g)),
+r as (select doc_id, min(i) as a, max(i) + 50 as z from m group by doc_id, run),
 c as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as kept_from from r),
 k as (select doc_id, string_agg(substr(h, cast(2 * kept_from + 1 as int), cast(2 * (a - kept_from) as int)), '' order by a) as head, max(z) as tail, sum(z - a) as n_removed, count(*) as n_spans from c join d using (doc_id) group by doc_id)
 select d.doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
