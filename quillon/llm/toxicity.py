@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common
@@ -270,9 +270,8 @@ def train(texts: Iterable[list[str]], labels: list[int], landmarks: int = 256, r
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model | None:
     """Train on at most ``max_rows`` labelled texts of each class, the first by hash of id."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    marked = F.broadcast(marked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_rows).drop("_r"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(marked, "_id").select("_y", "_t")
+    first = [marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_rows) for y in (0, 1)]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(first[0].unionByName(first[1])), "_id").select("_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
