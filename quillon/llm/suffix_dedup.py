@@ -12,9 +12,9 @@ does.  An anchor's context is all windows it stands for.
 one; a task sends the text of a copy once).  Blocks send anchor hashes, packed and sorted,
 to their owners by hash range, which answer with one bit each: does the anchor occur in
 another text?  Blocks then send hashes of the contexts of such anchors.  A context that
-an earlier document has entirely is a repeat as a whole.  Contexts that share the
-anchor and 16 bytes beside it with a different context, and are the first of their kind,
-need their strings compared.
+an earlier document has entirely is a repeat as a whole.  Contexts that share
+42 bytes around the anchor with a different context (every window holds one of four such
+strings), and are the first of their kind, need their strings compared.
 
 *Suffix array.*  The bytes of those contexts, a chunk of whole anchors at a time, are
 sorted by :func:`suffix_array`: groups of suffixes with equal Lyndon prefixes are
@@ -45,76 +45,91 @@ from quillon.llm import common
 
 SPAN = 50
 GRAM = 18
-SIDE = (SPAN - GRAM) // 2
+#: A window reaches at least 24 bytes beyond its anchor in total on the two sides of one of
+#: these splits: (bytes before, bytes after).
+SIDES = ((24, 0), (16, 8), (8, 16), (0, 24))
 BLOCK_BYTES = 12 << 20
-CHUNK_BYTES = 200_000
+CHUNK_BYTES = 60_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NO_ID = (1 << 63) - 1
-_CONTEXT = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("idx", "<i4"), ("first", "<i4"), ("n", "<i2")])
+_CONTEXT = np.dtype([("h", "<u8"), ("ctx", "<u8"), *((f"s{k}", "<u4") for k in range(4)), ("doc", "<i8"), ("idx", "<i4"), ("first", "<i4"), ("n", "<i2"), ("off", "<i2")])
 _RANGE = np.dtype([("idx", "<i4"), ("first", "<i4"), ("n", "<i4")])
-_NEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("idx", "<i4"), ("first", "<i4"), ("n", "<i4")])
+_NEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("idx", "<i4"), ("first", "<i4"), ("n", "<i2"), ("off", "<i2")])
 
 
 # ---- suffix array -----------------------------------------------------------------------
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Suffix array of a list whose last item is its only least one."""
+    """Suffix array of a list whose last item is its only least one.
+
+    A group is the stretch of the array that its suffixes will fill; it is named by its
+    start.  ``members`` holds a suffix, or a set of them, for each start."""
     n = len(text)
     by: dict[int, list[int]] = {}
     for i, c in enumerate(text):
         by.setdefault(c, []).append(i)
-    group, members, start_at_end, at = [0] * n, {}, {}, 0
+    group, members, start_at_end, at = [0] * n, [None] * n, [0] * (n + 1), 0
     for c in sorted(by):
         own = by[c]
         for i in own:
             group[i] = at
-        members[at] = set(own)
+        members[at] = set(own) if len(own) > 1 else own[0]
         start_at_end[at + len(own)] = at
         at += len(own)
     previous = [-1] * n
     end = n
     while end > 0:
         g = start_at_end[end]
-        own = members[g]
+        if end - g == 1:  # one suffix: it moves at most one other
+            i = members[g]
+            if i.__class__ is set:
+                (i,) = i
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = previous[j]
+            previous[i] = j
+            if j >= 0:
+                lower = group[j]
+                rest = members[lower]
+                if rest.__class__ is set:
+                    size = len(rest) - 1
+                    if size:
+                        rest.discard(j)
+                        new = lower + size
+                        group[j] = new
+                        members[new] = j
+                        start_at_end[new + 1] = new
+                        start_at_end[new] = lower
+            end = g
+            continue
         pointed: dict[int, int] = {}
-        for i in sorted(own) if len(own) > 1 else own:
+        for i in sorted(members[g]):
             j = i - 1
             while j >= 0 and group[j] >= g:
                 j = previous[j]
             previous[i] = j
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1
-        if pointed:
-            if len(pointed) == 1:
-                (j, _), = pointed.items()
-                lower = group[j]
+        parts: dict[int, dict[int, list[int]]] = {}
+        for j, k in pointed.items():
+            parts.setdefault(k, {}).setdefault(group[j], []).append(j)
+        for k in sorted(parts, reverse=True):
+            for lower, moved in parts[k].items():
+                lower = group[moved[0]]
                 rest = members[lower]
-                if len(rest) > 1:
-                    rest.discard(j)
-                    new = lower + len(rest)
+                if rest.__class__ is not set or len(moved) == len(rest):
+                    continue
+                rest.difference_update(moved)
+                new = lower + len(rest)
+                for j in moved:
                     group[j] = new
-                    members[new] = {j}
-                    start_at_end[new + 1] = new
-                    start_at_end[new] = lower
-            else:
-                parts: dict[tuple[int, int], list[int]] = {}
-                for j, k in pointed.items():
-                    parts.setdefault((-k, group[j]), []).append(j)
-                for (_, lower), moved in sorted(parts.items()) if len(parts) > 1 else parts.items():
-                    rest = members[lower]
-                    if len(moved) == len(rest):
-                        continue
-                    rest.difference_update(moved)
-                    new = lower + len(rest)
-                    for j in moved:
-                        group[j] = new
-                    members[new] = set(moved)
-                    start_at_end[new + len(moved)] = new
-                    start_at_end[new] = lower
+                members[new] = set(moved) if len(moved) > 1 else moved[0]
+                start_at_end[new + len(moved)] = new
+                start_at_end[new] = lower
         end = g
     order = [-1] * n
-    free = dict.fromkeys(members, 0)
+    free = list(range(n))
     placed = bytearray(n)
     order[0] = n - 1
     placed[n - 1] = 1
@@ -122,7 +137,7 @@ def suffix_array(text: list[int]) -> list[int]:
         j = order[i] - 1
         while j >= 0 and not placed[j]:
             g = group[j]
-            order[g + free[g]] = j
+            order[free[g]] = j
             free[g] += 1
             placed[j] = 1
             j = previous[j]
@@ -203,16 +218,17 @@ def _table(names: str, kinds: list, columns: list[list]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names.split())
 
 
-def _block_anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchor hashes of a block, and whether several texts have each."""
-    own = [np.unique(anchors(block.bytes_of(k))[3]) for k in range(len(block.texts))]
+def _block_anchors(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchor hashes of a block's texts, and whether several texts have each."""
+    own = [np.unique(h) for h in hashes]
     keys, times = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
     return keys, times > 1
 
 
 def _send(bits: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        keys, many = _block_anchors(Block(rows))
+        block = Block(rows)
+        keys, many = _block_anchors([anchors(block.bytes_of(k))[3] for k in range(len(block.texts))])
         cut, b = _cuts(keys, bits), key[0].as_py()
         out: list[list] = [[], [], [], []]
         for p in range(1 << bits):
@@ -266,7 +282,8 @@ def _contexts(bits: int):
         if not rows.num_rows:
             return _table("part block kind payload", _KINDS, [[], [], [], []])
         block, b = Block(rows), rows.column("block")[0].as_py()
-        keys, _ = _block_anchors(block)
+        all_anchors = [tuple(x.astype(t) for x, t in zip(anchors(block.bytes_of(k)), ("i4", "i4", "i4", "u8"), strict=True)) for k in range(len(block.texts))]
+        keys, _ = _block_anchors([a[3] for a in all_anchors])
         shared = np.zeros(len(keys), dtype=bool)
         cut = _cuts(keys, bits)
         for p, n, raw in zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), answers.column("shared").to_pylist(), strict=True):
@@ -274,7 +291,7 @@ def _contexts(bits: int):
         known, found = keys[shared], []
         for k in range(len(block.texts)):
             buf = block.bytes_of(k)
-            place, first, n, h = anchors(buf)
+            place, first, n, h = all_anchors[k]
             if not len(h) or not len(known):
                 continue
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -282,16 +299,14 @@ def _contexts(bits: int):
             if not hit.any():
                 continue
             place, first, n, h = place[hit], first[hit], n[hit], h[hit]
-            beside = (rolling(buf, GRAM + SIDE) >> np.uint64(32)).astype(np.uint32)
+            beside = (rolling(buf, GRAM + 24) >> np.uint64(32)).astype(np.uint32)
             raw = memoryview(block.texts[k])
             out = np.zeros(len(h), dtype=_CONTEXT)
-            out["h"], out["doc"], out["idx"], out["first"], out["n"] = h, block.ids[k], k, first, n
+            out["h"], out["doc"], out["idx"], out["first"], out["n"], out["off"] = h, block.ids[k], k, first, n, place - first
             out["ctx"] = np.fromiter((xxhash.xxh64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), (first + n + SPAN - 1).tolist(), strict=True)), dtype=np.uint64, count=len(h))
-            # texts that end within the side have no such string there
-            ok = place >= SIDE
-            out["left"][ok] = beside[place[ok] - SIDE] | np.uint32(1)
-            ok = place + GRAM + SIDE <= len(buf)
-            out["right"][ok] = beside[place[ok]] | np.uint32(1)
+            for k, (before, after) in enumerate(SIDES):  # zero where the text ends within the side
+                ok = (place >= before) & (place + GRAM + after <= len(buf))
+                out[f"s{k}"][ok] = beside[place[ok] - before] | np.uint32(1)
             found.append(out)
         part, blocks, kind, payload = [], [], [], []
         if found:
@@ -353,15 +368,25 @@ def _judge(group: pa.Table) -> pa.Table:
         least = all_["doc"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         later = all_["doc"] > least
         both = lambda side: common.mix(all_["h"] ^ (all_[side].astype(np.uint64) << np.uint64(17)))
-        need = ~later & (_several(both("left"), all_["ctx"], all_["left"] > 0) | _several(both("right"), all_["ctx"], all_["right"] > 0))
+        # windows that may recur: the bytes before the anchor are 24..32, 16..23, 8..15 or 0..7
+        near, far = np.full(len(all_), SPAN), np.full(len(all_), -1)
+        for k, (before, _) in enumerate(SIDES):
+            some = _several(both(f"s{k}"), all_["ctx"], all_[f"s{k}"] > 0)
+            near[some] = before
+            far[some] = np.maximum(far[some], before + (8 if k == 0 else 7))
+        place = all_["first"].astype(np.int64) + all_["off"]
+        low = np.maximum(all_["first"], place - far)
+        high = np.minimum(all_["first"].astype(np.int64) + all_["n"] - 1, place - near)
+        need = ~later & (low <= high)
         for b in np.unique(home).tolist():
             own = home == b
             if len(gone := merged(_ranges(all_[own & later]))):
                 out.append([part, b, 1, gone.tobytes()])
             if len(ask := all_[own & need]):
                 a = np.zeros(len(ask), dtype=_NEED)
-                for c in _NEED.names:
+                for c in ("h", "doc", "idx"):
                     a[c] = ask[c]
+                a["first"], a["n"], a["off"] = (x[own & need] for x in (low, high - low + 1, place - low))
                 out.append([part, b, 2, a.tobytes()])
     return _table("part block kind payload", _KINDS, [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []])
 
@@ -370,47 +395,55 @@ def _fetch(chunks: int):
     """The bytes of contexts to compare, dealt by anchor."""
 
     def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        names, kinds = "chunk h block idx doc first context", [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names, kinds = "chunk h block idx doc first before after", [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         if not rows.num_rows or not asks.num_rows:
-            return _table(names, kinds, [[]] * 7)
+            return _table(names, kinds, [[]] * 8)
         block, b = Block(rows), rows.column("block")[0].as_py()
         ask = np.concatenate([np.frombuffer(r, dtype=_NEED) for r in asks.column("payload").to_pylist()])
         raw = [memoryview(t) for t in block.texts]
-        context = [bytes(raw[k][a : a + n + SPAN - 1]) for k, a, n in zip(ask["idx"].tolist(), ask["first"].tolist(), ask["n"].tolist(), strict=True)]
+        place = list(zip(ask["idx"].tolist(), ask["first"].tolist(), ask["n"].tolist(), ask["off"].tolist(), strict=True))
+        before = [bytes(raw[k][a : a + o]) for k, a, n, o in place]
+        after = [bytes(raw[k][a + o + GRAM : a + n + SPAN - 1]) for k, a, n, o in place]
         chunk = (common.mix(ask["h"] + np.uint64(1)) % np.uint64(chunks)).astype(np.int32)
-        return _table(names, kinds, [chunk, ask["h"].view(np.int64), [b] * len(ask), ask["idx"], ask["doc"], ask["first"], context])
+        return _table(names, kinds, [chunk, ask["h"].view(np.int64), [b] * len(ask), ask["idx"], ask["doc"], ask["first"], before, after])
 
     return run
 
 
-def repeated_windows(contexts: list[bytes], docs: list[int]) -> list[tuple[int, int]]:
-    """(context, window) of each window that also starts in a context of a smaller doc."""
-    text, owner, within = [], [], []
-    for k, c in enumerate(contexts):
-        text += [b + 2 for b in c]
-        text.append(1)
-        owner += [k] * (len(c) + 1)
-        within += range(len(c) + 1)
-    text.append(0)
-    joined = b"\x00".join(contexts)
-    whole = [len(c) - SPAN for c in contexts]
-    out, cls, last = [], [], None
-
-    def close() -> None:
-        if len(cls) > 1:
-            least = min(docs[owner[i]] for i in cls)
-            out.extend((owner[i], within[i]) for i in cls if docs[owner[i]] > least)
-
-    for i in suffix_array(text)[1:]:
-        if within[i] > whole[owner[i]]:
-            continue
-        window = joined[i : i + SPAN]
-        if window != last:
-            close()
-            cls, last = [], window
-        cls.append(i)
-    close()
-    return out
+def repeated_windows(anchor: np.ndarray, left: list[bytes], right: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, window) of each window that also starts in a context of a smaller doc.
+
+    A context is the bytes before its anchor and those after it; the anchor between
+    them is one symbol, since every window of the context holds all of it."""
+    name = np.unique(anchor, return_inverse=True)[1]
+    lens = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+    width = lens.sum(axis=1) + 2
+    stop = np.cumsum(width)
+    begin = stop - width
+    # symbols: 0 the end, 1 between contexts, bytes from 2, anchors from 258
+    text = np.ones(int(stop[-1]) + 1, dtype=np.int64)
+    text[-1] = 0
+    owner = np.repeat(np.arange(len(width)), width)
+    within = np.arange(int(stop[-1])) - begin[owner]
+    fill = np.ones(len(owner), dtype=bool)
+    fill[begin + lens[:, 0]] = False
+    fill[stop - 1] = False
+    text[:-1][fill] = np.frombuffer(b"".join(x for pair in zip(left, right, strict=True) for x in pair), dtype=np.uint8).astype(np.int64) + 2
+    text[begin + lens[:, 0]] = 258 + name
+    order = np.array(suffix_array(text.tolist()), dtype=np.int64)[1:]
+    size = SPAN - GRAM + 1  # symbols of a window
+    starts = (within <= lens[owner, 0]) & (within + size < width[owner])
+    order = order[starts[order]]
+    if len(order) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = np.ones(len(order) - 1, dtype=bool)
+    for k in range(size):
+        same &= text[order[1:] + k] == text[order[:-1] + k]
+    fresh = np.flatnonzero(np.concatenate(([True], ~same)))
+    doc = docs[owner[order]]
+    least = np.repeat(np.minimum.reduceat(doc, fresh), np.diff(np.append(fresh, len(doc))))
+    gone = order[doc > least]
+    return owner[gone], within[gone]
 
 
 def _compare(group: pa.Table) -> pa.Table:
@@ -420,19 +453,23 @@ def _compare(group: pa.Table) -> pa.Table:
     h = h[order]
     block, idx = group.column("block").to_numpy()[order], group.column("idx").to_numpy()[order]
     doc, first = group.column("doc").to_numpy()[order], group.column("first").to_numpy()[order]
-    context = group.column("context").take(pa.array(order)).to_pylist()
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    lo, size = 0, 0
-    for i in range(len(h) + 1):
-        if i == len(h) or (size > CHUNK_BYTES and i > lo and h[i] != h[i - 1]):
-            if i > lo:
-                for k, w in repeated_windows(context[lo:i], doc[lo:i].tolist()):
-                    found.setdefault(int(block[lo + k]), []).append((int(idx[lo + k]), int(first[lo + k]) + w, 1))
-            lo, size = i, 0
-        if i < len(h):
-            size += len(context[i])
+    before, after = (group.column(c).take(pa.array(order)).to_pylist() for c in ("before", "after"))
+    size = np.cumsum([len(a) + len(b) + 2 for a, b in zip(before, after, strict=True)])
+    found: dict[int, list[np.ndarray]] = {}
+    edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    lo = 0
+    while lo < len(h):  # whole anchors, about CHUNK_BYTES of them
+        k = np.searchsorted(edges, np.searchsorted(size, size[lo] + CHUNK_BYTES))
+        hi = int(edges[k]) if k < len(edges) else len(h)
+        hi = hi if hi > lo else int(edges[np.searchsorted(edges, lo, side="right")]) if lo < edges[-1] else len(h)
+        own, window = repeated_windows(h[lo:hi], before[lo:hi], after[lo:hi], doc[lo:hi])
+        gone = np.zeros(len(own), dtype=_RANGE)
+        gone["idx"], gone["first"], gone["n"] = idx[lo + own], first[lo + own] + window, 1
+        for b in np.unique(block[lo + own]).tolist():
+            found.setdefault(b, []).append(merged(gone[block[lo + own] == b]))
+        lo = hi
     part = group.column("chunk")[0].as_py()
-    out = [[part, b, 1, merged(np.array(r, dtype=_RANGE)).tobytes()] for b, r in found.items()]
+    out = [[part, b, 1, merged(np.concatenate(r)).tobytes()] for b, r in found.items()]
     return _table("part block kind payload", _KINDS, [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []])
 
 
@@ -503,7 +540,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     asks = judged.where("kind = 2")
     n_bytes = asks.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     chunks = int(max(parts, -(-n_bytes * (SPAN + 16) // _NEED.itemsize // (4 * CHUNK_BYTES))))
-    fetched = stored.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(_fetch(chunks), "chunk int, h long, block long, idx int, doc long, first int, context binary")
+    fetched = stored.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(_fetch(chunks), "chunk int, h long, block long, idx int, doc long, first int, before binary, after binary")
     compared = common.materialise(fetched.groupBy("chunk").applyInArrow(_compare, out), "suffix-compared")
     gone = judged.where("kind = 1").unionByName(compared)
     done = stored.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove, "h1 long, h2 long, rep long, n_removed long, n_spans long, kept_sha256 string")
