@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import common, mixing, packing, secrets, simhash, toxicity
+from quillon.llm import common, mixing, near_copies, packing, secrets, toxicity
 from quillon.llm.queries import label_domains
 
 #: Wanted shares of tokens after toxic documents are gone; nothing that is kept is lost, so
@@ -36,11 +36,13 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, the one with the smallest id;
-    of rows with that id, one.  Texts without a word are no duplicates of each other, and
-    documents without an id are kept unless an identified one is their duplicate."""
+    """Keep one document of each group of near duplicates (similarity of five-word shingles
+    from 0.8), the one with the smallest id; of rows with that id, one.  Texts without a
+    word are no duplicates of each other, and documents without an id are kept."""
     common.prepare(spark)
-    found = simhash.simhash_components(docs, shingle=5, radius=3).where("doc_id <> component_id and fp <> 0").select("doc_id").distinct()
+    rows = common.materialise(near_copies.near_copies(docs, shingle=5).where("component is not null"), "near-components")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("_least"))
+    found = rows.join(least, "component").where("doc_id <> _least").select("doc_id").distinct()
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_anti")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -42,13 +42,13 @@ CELL_LIMIT = 20_000
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles, repeats included."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; a shorter text is one shingle."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
@@ -57,7 +57,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
         parts = [line[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(p, SEED) for p in parts), dtype="<u8", count=len(parts))
+    return np.fromiter((digest(p, SEED) for p in parts), dtype="<u8", count=len(parts))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles, repeats included."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)]
