@@ -268,17 +268,20 @@ def train(texts: Iterable[list[str]], labels: list[int], landmarks: int = 256, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model | None:
-    """Train on at most ``max_rows`` labelled texts of each class, the first by hash of id."""
+    """Train on at most ``max_rows`` labelled texts of each class, the first by hash of id
+    among the labelled ids that ``docs`` holds; rows that repeat an id and a text count once."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    first = [marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_rows) for y in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(first[0].unionByName(first[1])), "_id").select("_y", "_t")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_h"))
+    held = common.materialise(texts.where("_id is not null").select("_id", "_h").distinct().join(marked, "_id"), "toxicity-labelled")
+    first = [held.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id", "_h").limit(max_rows) for y in (0, 1)]
+    rows = texts.join(F.broadcast(first[0].unionByName(first[1])), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select("_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = ["\n".join(sorted(units(x or ""))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["y", "units"])
 
-    got = rows.mapInArrow(run, "y int, units string").orderBy("y", F.xxhash64("units"), "units").limit(2 * max_rows).collect()
+    got = rows.mapInArrow(run, "y int, units string").orderBy("y", F.xxhash64("units"), "units").collect()
     return train((r["units"].split("\n") if r["units"] else [] for r in got), [r["y"] for r in got])
 
 

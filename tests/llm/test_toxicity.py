@@ -60,3 +60,13 @@ def test_fit_score_and_edges(spark):
     assert toxicity.fit(docs, labels.limit(0)) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_fit_takes_each_class_from_the_documents_at_hand(spark, monkeypatch):
+    rows = [(i, f"clean text {i}") for i in range(8)] + [(100 + i, f"toxic text {i}") for i in range(8)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows] + [(i, i % 2) for i in range(1000, 1400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([rows[0]] * 50 + rows * 3, "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: (list(texts), y))
+    texts, y = toxicity.fit(docs, labels, max_rows=6)
+    assert y == [0] * 6 + [1] * 6
+    assert len({tuple(sorted(t)) for t in texts}) == 12
