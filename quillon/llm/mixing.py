@@ -15,6 +15,12 @@ the share of domain k before mixing.  A step moves r_i by a function of the resi
 all domains, so an iteration is one aggregation of the table to K numbers, and a rate is
 a fold over the list of residuals; no rate is stored between iterations.
 
+*Finish.*  Where the descent has not met the targets, Newton steps on the dual end the fit.
+At the least, r_i is 1 - sum_k p_ik e_k / ridge within the bounds, with the residuals
+e_k = (T_k - t_k) / (S m_k); these K numbers are found from aggregations to K + K^2 + 1
+numbers, until they agree with the totals to ``FINISHED`` of all tokens.  What is left of
+the gap to the targets is then due to the bounds, the posteriors and the ridge.
+
 Null and empty texts have no tokens: they have the prior as posteriors and a rate like any
 other.  Rows that share an id and a text get the same rate and each count.  A null domain
 is not learned from.  Domains that occur only in the targets, or only in labels, count
@@ -24,7 +30,9 @@ with the number zero on the other side.  Without usable labels or documents all
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +42,7 @@ BUCKETS = 4096
 MAX_LABELLED = 20_000
 SHARPNESS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.5, 4.0)
 RIDGE = 1e-3
+FINISHED = 1e-7
 
 
 def words(text: Column) -> Column:
@@ -50,14 +59,27 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 class Mixture:
     """table: one row for each distinct (doc_id, text_hash) with copies, n_tokens and
-    p_0.. (posteriors); domains; history: the residuals of each iteration."""
+    p_0.. (posteriors); domains; history: the residuals of each iteration of the descent; dual:
+    the residuals at the least where Newton steps ended the fit, else None; gap: expected
+    less wanted share of each domain; finished: whether the targets or the least are met."""
 
     def __init__(self, table: DataFrame, domains: list[str], history: list[list[float]], step: float, low: float, high: float, ridge: float):
         self.table, self.domains, self.history = table, domains, history
         self.step, self.low, self.high, self.ridge = step, low, high, ridge
+        self.dual: list[float] | None = None
+        self.gap: dict[str, float] = {}
+        self.finished = False
+
+    def rate_of(self, dual: list[float]) -> Column:
+        """The rate that is best at given residuals."""
+        slope = _total([F.lit(float(e)) * F.col(f"p_{k}") for k, e in enumerate(dual)])
+        return F.greatest(F.lit(self.low), F.least(F.lit(self.high), 1.0 - slope / F.lit(self.ridge)))
 
     def rate(self) -> Column:
-        """Rate of a row: a fold over the residuals of all iterations."""
+        """Rate of a row: from the residuals at the least, or a fold over the residuals of
+        all iterations."""
+        if self.dual is not None:
+            return self.rate_of(self.dual)
         start = F.lit(min(max(1.0, self.low), self.high))
         if not self.history:
             return start
@@ -75,6 +97,56 @@ class Mixture:
         return self.table.withColumn("rate", self.rate())
 
 
+def _total(parts: list[Column]) -> Column:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out + x
+    return out
+
+
+def finish(mix: Mixture, mass: Column, everything: float, base: list[float], share: list[float], start: list[float], steps: int = 100) -> None:
+    """Newton steps with a line search on the convex dual, from the residuals ``start``."""
+    size, m, t = len(base), np.array(base), np.array(share)
+
+    def at(e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Dual value, totals as shares, and second moments of the rows between the bounds."""
+        p = [F.col(f"p_{k}") for k in range(size)]
+        slope = _total([F.lit(float(x)) * q for x, q in zip(e, p, strict=True)])
+        r, n = F.col("_r"), F.col("_n")
+        rows = mix.table.withColumn("_r", mix.rate_of(e.tolist())).withColumn("_n", mass / F.lit(everything)).withColumn("_z", slope)
+        free = F.when((r > mix.low) & (r < mix.high), n).otherwise(F.lit(0.0))
+        value = F.sum(-n * (F.lit(mix.ridge / 2) * (r - 1.0) * (r - 1.0) + F.col("_z") * r))
+        pairs = [(j, k) for j in range(size) for k in range(j, size)]
+        got = rows.agg(value, *[F.sum(n * r * q) for q in p], *[F.sum(free * p[j] * p[k]) for j, k in pairs]).first()
+        second = np.zeros((size, size))
+        for (j, k), x in zip(pairs, got[1 + size :], strict=True):
+            second[j, k] = second[k, j] = x
+        return float(got[0] + (m * e * e).sum() / 2 + t @ e), np.array(got[1 : 1 + size], dtype=float), second
+
+    e = np.array(start, dtype=float)
+    value, totals, second = at(e)
+    for _ in range(steps):
+        slope = m * e - (totals - t)
+        if np.abs(slope).max() < FINISHED:
+            mix.finished = True
+            break
+        move = -np.linalg.solve(np.diag(m) + second / mix.ridge, slope)
+        length = 1.0
+        while length > 1e-9:
+            new = at(e + length * move)
+            if new[0] <= value + 1e-4 * length * float(slope @ move) + 1e-15:
+                break
+            length /= 2
+        else:
+            break
+        e = e + length * move
+        value, totals, second = new
+    mix.dual = e.tolist()
+    mix.gap = dict(zip(mix.domains, (totals - t).tolist(), strict=True))
+    if not mix.finished:
+        warnings.warn(f"mixing rates are not at the least; gap {mix.gap}", stacklevel=3)
+
+
 def _posterior(sums: list[Column], prior: list[float], n: Column, sharp: float) -> list[Column]:
     scale = F.lit(sharp) / F.sqrt(F.greatest(n, F.lit(1.0)))
     z = [s * scale + F.lit(math.log(p)) for s, p in zip(sums, prior, strict=True)]
@@ -138,12 +210,17 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_co
     if not everything or not texts:
         return mix
     base = [max(float(x or 0) / everything, 1e-9) for x in before[1:]]
-    for _ in range(iterations):
+    for k in range(iterations + 1):
         now = table.withColumn("_m", mass * mix.rate()).agg(*[F.sum(F.col("_m") * F.col(f"p_{k}")) for k in range(size)]).first()
         gap = [(float(x or 0) / everything - t) for x, t in zip(now, share, strict=True)]
+        mix.gap = dict(zip(domains, gap, strict=True))
         if max(map(abs, gap)) < tolerance:
+            mix.finished = True
             break
-        mix.history.append([g / b for g, b in zip(gap, base, strict=True)])
+        if k < iterations:
+            mix.history.append([g / b for g, b in zip(gap, base, strict=True)])
+    if not mix.finished and ridge > 0:
+        finish(mix, mass, everything, base, share, [g / b for g, b in zip(gap, base, strict=True)])
     return mix
 
 

@@ -55,3 +55,34 @@ def test_bounds_and_edges(spark):
 def test_copies_have_the_rate_as_mean(spark):
     got = spark.range(20000).select(mixing.copies(F.lit(1.25), "id").alias("c")).agg(F.avg("c"), F.min("c"), F.max("c")).first()
     assert abs(got[0] - 1.25) < 0.02 and (got[1], got[2]) == (1, 2)
+
+
+def test_fit_ends_at_the_least_with_soft_posteriors(spark):
+    rnd = random.Random(4)
+    shared = [f"word{i}" for i in range(60)]
+    own = {"a": ["apple", "ant"], "b": ["boat", "bee"], "c": ["cloud", "cat"]}
+    rows = []
+    for k in range(400):
+        d = "a" if k % 10 < 7 else "b" if k % 10 < 9 else "c"
+        rows.append((k, " ".join(rnd.choice(own[d] if rnd.random() < 0.04 else shared) for _ in range(rnd.randint(20, 80))), d))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d) for i, _, d in rows if i % 2], "doc_id long, domain string")
+    want = np.array([0.5, 0.1, 0.4])
+    mix = mixing.mixture(docs, labels, dict(zip("abc", want.tolist(), strict=True)))
+    got = mix.rates().collect()
+    n = np.array([r.copies * r.n_tokens for r in got], dtype=float)
+    p = np.array([[r[f"p_{k}"] for k in range(3)] for r in got])
+    base = n @ p / n.sum()
+
+    def value(x):
+        return ((((x * n) @ p / n.sum() - want) ** 2) / base).sum() + mix.ridge * (n * (x - 1) ** 2).sum() / n.sum()
+
+    x = np.ones(len(n))
+    for k in range(60_000):
+        if k == 40:
+            early = value(x)
+        x = np.clip(x - mix.step * (p @ (((x * n) @ p / n.sum() - want) / base) + mix.ridge * (x - 1)), mix.low, mix.high)
+    rate = np.array([r.rate for r in got])
+    assert mix.finished and value(x) < early - 1e-5
+    assert value(rate) <= value(x) + 1e-7
+    assert np.allclose([mix.gap[d] for d in "abc"], (rate * n) @ p / n.sum() - want, atol=1e-6)
