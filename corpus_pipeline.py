@@ -36,15 +36,20 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (similarity of five-word shingles
-    from 0.8), the one with the smallest id; of rows with that id, one.  Texts without a
-    word are no duplicates of each other, and documents without an id are kept."""
+    """Keep one row of each group of near duplicates (similarity of five-word shingles from
+    0.8): the least by id, then by hash of its text; rows without an id come last.  Each row
+    is judged by its own text.  Texts without a word are no duplicates of each other; of
+    those with the same id and text one row is kept."""
     common.prepare(spark)
-    rows = common.materialise(near_copies.near_copies(docs, shingle=5).where("component is not null"), "near-components")
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("_least"))
-    found = rows.join(least, "component").where("doc_id <> _least").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_anti")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = common.materialise(near_copies.near_copies(docs, shingle=5), "near-components")
+    unnamed = F.col("doc_id").isNull()
+    least = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(unnamed.alias("last"), "doc_id", "text_hash")).alias("_k")).select("_k.doc_id", "_k.text_hash")
+    wordless = rows.where("component is null").select("doc_id", "text_hash").distinct()
+    keys = least.unionByName(wordless.where(~unnamed)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    keyed = docs.withColumn("_own", F.xxhash64("text"))
+    kept = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_own"])
+    blank = keyed.where(unnamed).join(wordless.where(unnamed).select(F.col("text_hash").alias("_own")), "_own", "left_semi")
+    return kept.select(*docs.columns).unionByName(blank.select(*docs.columns))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

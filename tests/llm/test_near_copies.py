@@ -58,3 +58,11 @@ def test_stage_drops_copies_from_similarity_08(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in cp.near_duplicates_out(spark, docs, "").collect()}
     assert left == {i for i in range(120) if i % 3 != 1}
+
+
+def test_stage_judges_each_row_by_its_own_text(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(50))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("a")), (None, text("e")), (None, text("e")), (None, ""), (None, ""), (4, ""), (4, ""), (5, None)]
+    left = [tuple(r) for r in cp.near_duplicates_out(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (None, ""), (None, ""), (4, ""), (5, None)]
+    assert sorted(left, key=str) == sorted(want, key=str)
