@@ -58,8 +58,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``column``: later groupings by it move no row."""
+    spark = df.sparkSession
+    if buckets > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(buckets))
+    name = f"quillon_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).format("parquet").option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._quillon_table = name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`materialise` that no later step reads."""
+    """Delete a table of :func:`materialise` or :func:`bucketed` that no later step reads."""
+    if name := getattr(df, "_quillon_table", None):
+        df.sparkSession.sql(f"drop table if exists {name}")
     path = getattr(df, "_quillon_path", None)
     if path:
         jvm = df.sparkSession._jvm

@@ -1,226 +1,344 @@
 """Language-model scoring with a weighted backoff automaton.
 
-*Model.*  Smoothed n-grams of words and one end token.  The unigram estimate is
-``P(w) = (c(w) + 1) / (N + V + 1)``; each longer history h = u g backs off to g by a
-Dirichlet prior of weight ``prior``: ``P(w | h) = (c(h w) + prior * P(w | g)) / (c(h) + prior)``.
-
-*Automaton.*  Every history is a state.  A seen n-gram is an arc that consumes w; the
-failure arc of state h goes to g with weight ``prior / (c(h) + prior)`` and consumes
-nothing.  A text is read once from left to right: the current state follows an arc
-where there is one, else failure arcs, and log10 weights add up.
-
-*Scale.*  The automaton of the whole corpus never sits in one place.  Documents are
-dealt into blocks of bounded text.  Each block sends the distinct hashes of its own
-n-grams with its training counts, as packed sorted arrays, to the hash range that owns
-them; the owner adds up and sends the totals back in the same order.  A block then holds
-the slice of the automaton that its texts can reach, bounded by the block's own size.
-A very frequent n-gram is one entry for each block, whatever its count.
+*Model.*  Words and one end token; texts begin with ``order - 1`` start marks.  The unigram
+estimate is ``P(w) = (c(w) + 1) / (N + V + 1)``.  After a history h seen in training a word
+seen after it has ``P(w | h) = (c(h w) - discount) / c(h)``; the mass that the discounts
+free goes to the other words in proportion to the shorter history g:
+``P(w | h) = a(h) * P(w | g)`` with ``a(h) = discount * T(h) / c(h) / (1 - S(h))``, where
+T(h) counts the distinct words seen after h and S(h) is the sum of their ``P(. | g)``.
+All next words, the unseen one included, sum to one.
+
+*Automaton.*  A state is a history seen in training (the empty one too).  Its arcs are the
+words seen after it, with ``log10 P``, and lead to the longest suffix of the words read
+that is a state; its failure arc consumes nothing, weighs ``log10 a(h)`` and leads to the
+history without its first word.  The empty history has an arc for every word.  A text is
+read once from left to right: the machine follows the arc of the next word, or failure
+arcs until there is one, carries its state on and adds the weights up.  All texts of a
+block are read in step.  Texts over ``SEGMENT`` tokens are read in segments, each after the
+``order - 1`` words before it: a state depends on no more than these.
+
+*Scale.*  The automaton of the corpus never sits in one place.  Texts are gathered into
+blocks of bounded size where they are read and stay there, as token numbers in a bucketed
+table.  Blocks exchange packed sorted hashes with the owners of hash ranges
+(:mod:`quillon.llm.exchange`): first counts of n-grams, then T and S of histories, to
+which each distinct n-gram contributes once (one block is told to speak for it).  A block
+then holds the states and arcs that its texts can reach, bounded by its own size.
 
 Hashes have 64 bits; two n-grams of one order with one hash would be counted together.
 Null and empty texts are the end token alone; an empty table gives an empty result;
-repeated rows are scored (and counted) once each.
+repeated rows are scored (and counted) once each; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import common
+from quillon.llm import common, exchange
 
 ORDER = 2
-PRIOR = 8.0
-BLOCK_BYTES = 24 << 20
-_END = b"\n"  # no word holds white space
-_START = np.uint64(0x5851F42D4C957F2D)
-_PART = "part int, block long, size int, hashes binary, counts binary"
+DISCOUNT = 0.5
+BLOCK_BYTES = 12 << 20
+SEGMENT = 2048
+_START, _END = 0, 1  # local numbers; neither name can be a word, since no word holds white space
+_NAMES = [b"\t", b"\n"]
+_TOTAL = ["<u8", "?"]
+
+
+class Grams:
+    """The distinct n-grams of a block's token numbers, sizes 1 to ``order``.
+
+    For each size: ``history`` (number of the n-gram without its last word, among those
+    one shorter), ``last`` (its last word), ``suffix`` (number without its first word),
+    ``hash``, ``place`` (number of the n-gram that ends at each token, -1 where the text
+    is too short) and ``rank`` (order of the hashes)."""
+
+    def __init__(self, ids: np.ndarray, lens: np.ndarray, names: np.ndarray, order: int):
+        self.ids, self.lens, self.names, self.order = ids, lens, names, order
+        self.stop = np.cumsum(lens)
+        self.into = np.arange(len(ids)) - np.repeat(self.stop - lens, lens)
+        width = len(names)
+        zero = np.zeros(width, dtype=np.int64)
+        self.history, self.last, self.suffix, self.hash, self.place = [zero], [np.arange(width)], [zero], [names], [ids.astype(np.int64)]
+        with np.errstate(over="ignore"):
+            for n in range(2, order + 1):
+                at = np.flatnonzero(self.into >= n - 1)
+                code = self.place[-1][at - 1] * width + ids[at]
+                kinds, first, number = np.unique(code, return_index=True, return_inverse=True)
+                place = np.full(len(ids), -1, dtype=np.int64)
+                place[at] = number
+                self.history.append(kinds // width)
+                self.last.append(kinds % width)
+                self.suffix.append(self.place[n - 2][at[first]])
+                self.place.append(place)
+                self.hash.append(common.mix(self.hash[-1][self.history[-1]] * np.uint64(0x9E3779B97F4A7C15) + names[self.last[-1]] + np.uint64(n)))
+        self.rank = [np.argsort(h, kind="stable") for h in self.hash]
+
+    def counts(self, which: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram ends at the tokens of ``which``; of the start marks of a text
+        only the last counts, so that a history counts what follows it."""
+        which = which & (self.into >= self.order - 2)
+        return [np.bincount(p[which & (p >= 0)], minlength=len(h)) for p, h in zip(self.place, self.hash, strict=True)]
+
+
+class Weights:
+    """Arc and failure weights from totals: ``c`` counts of the n-grams of each size."""
+
+    def __init__(self, grams: Grams, c: list[np.ndarray], n: int, v: int, discount: float):
+        self.grams, self.c, self.discount = grams, [x.astype(np.float64) for x in c], discount
+        self.arc = [(self.c[0] + 1.0) / (n + v + 1.0)]
+        for k in range(1, grams.order):
+            self.arc.append((self.c[k] - discount) / np.maximum(self.c[k - 1][grams.history[k]], 1))
+
+    def following(self, size: int, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """T and S of each history of ``size`` words, from the n-grams that this block speaks for."""
+        own = np.flatnonzero(speaks & (self.c[size] > 0) & (self.grams.last[size] != _START))
+        of, shorter = self.grams.history[size][own], self.arc[size - 1][self.grams.suffix[size][own]]
+        m = len(self.c[size - 1])
+        return np.bincount(of, minlength=m).astype(np.uint32), np.bincount(of, weights=shorter, minlength=m)
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every token, and the end of each text among them."""
+class Automaton:
+    """States and arcs that one block can reach.
+
+    ``spare[m - 1]`` holds T / (1 - S) of each history of m words."""
+
+    def __init__(self, weights: Weights, spare: list[np.ndarray]):
+        g, order, c = weights.grams, weights.grams.order, weights.c
+        width = len(g.names)
+        # the empty history is state 0; a history of m words that was seen has the next number
+        number = [np.zeros(1, dtype=np.int64)]
+        failure, weight = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
+        size = 1
+        for m in range(1, order):
+            seen = (c[m - 1] > 0) & (spare[m - 1] > 0)
+            shorter = number[0][np.zeros(len(seen), dtype=np.int64)] if m == 1 else number[m - 1][g.suffix[m - 1]]
+            own = shorter.copy()  # a history that was not seen is its longest seen suffix
+            own[seen] = size + np.arange(int(seen.sum()))
+            size += int(seen.sum())
+            number.append(own)
+            failure.append(shorter[seen])
+            weight.append(np.log10(weights.discount * spare[m - 1][seen] / c[m - 1][seen]))
+        self.failure, self.weight = np.concatenate(failure), np.concatenate(weight)
+        code, value, to = [], [], []
+        for n in range(1, order + 1):
+            ok = np.ones(width, dtype=bool) if n == 1 else c[n - 1] > 0
+            of = np.zeros(int(ok.sum()), dtype=np.int64) if n == 1 else number[n - 1][g.history[n - 1][ok]]
+            # the longest state that the words read end with
+            reach = number[n][np.flatnonzero(ok)] if n < order else (number[n - 1][g.suffix[n - 1][ok]] if n > 1 else np.zeros(width, dtype=np.int64))
+            code.append(of * width + g.last[n - 1][ok])
+            value.append(np.log10(weights.arc[n - 1][ok]))
+            to.append(reach)
+        order_ = np.argsort(np.concatenate(code), kind="stable")
+        self.code, self.value, self.to, self.width = np.concatenate(code)[order_], np.concatenate(value)[order_], np.concatenate(to)[order_], width
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10 probabilities of one word for each of many readers."""
+        total = np.zeros(len(state))
+        state = state.copy()
+        left = np.arange(len(state))
+        arc = np.empty(len(state), dtype=np.int64)
+        while len(left):
+            want = state[left] * self.width + word[left]
+            at = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+            hit = self.code[at] == want
+            arc[left[hit]] = at[hit]
+            left = left[~hit]
+            total[left] += self.weight[state[left]]
+            state[left] = self.failure[state[left]]
+        return self.to[arc], total + self.value[arc]
+
+    def read(self, ids: np.ndarray, lens: np.ndarray, order: int, segment: int = SEGMENT) -> np.ndarray:
+        """log10 probability of each text: start marks set the state, the rest is scored."""
+        begin = np.cumsum(lens) - lens
+        first = begin + order - 1  # the first scored token
+        pieces = -(-(lens - (order - 1)) // segment)
+        text = np.repeat(np.arange(len(lens)), pieces)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = first[text] + part * segment
+        stop = np.minimum(start + segment, (begin + lens)[text])
+        size = stop - start
+        by = np.argsort(-size, kind="stable")
+        start, size, text = start[by], size[by], text[by]
+        state, score = np.zeros(len(start), dtype=np.int64), np.zeros(len(start))
+        for back in range(order - 1, 0, -1):  # the words before a segment set its state
+            state, _ = self.step(state, ids[start - back].astype(np.int64))
+        active = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        for t, n in enumerate(active.tolist()):
+            state[:n], more = self.step(state[:n], ids[start[:n] + t].astype(np.int64))
+            score[:n] += more
+        return np.bincount(text, weights=score, minlength=len(lens))
+
+
+# ---- blocks -------------------------------------------------------------------------------
+
+
+def _gather(order: int, block_bytes: int):
+    """Token numbers of the texts of a partition, in blocks of about ``block_bytes``."""
     import xxhash
 
-    split = [t.lower().split() for t in texts]
-    names: dict[bytes, int] = {_END: 0}
-    ids, ends, at = [], [], 0
-    for words in split:
-        ids.append(np.fromiter((names.setdefault(w, len(names)) for w in words), dtype=np.int64, count=len(words)))
-        ids.append(np.zeros(1, dtype=np.int64))
-        at += len(words) + 1
-        ends.append(at)
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), dtype=np.uint64, count=len(names))
-    flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-    return hashed[flat], np.array(ends, dtype=np.int64)
-
-
-def ngrams(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
-    """For sizes 1..order, the hash of the n-gram that ends at each token; texts begin
-    with ``order - 1`` start marks."""
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    into = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens)))) if len(ends) else ends
-    out = [tokens]
-    with np.errstate(over="ignore"):
-        for n in range(2, order + 1):
-            back = np.concatenate((np.full(min(n - 1, len(tokens)), _START), tokens[: max(0, len(tokens) - n + 1)]))
-            back = np.where(into >= n - 1, back, _START)
-            out.append(common.mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + back + np.uint64(n)))
-    return out
-
-
-def histories(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
-    """For sizes 1..order-1, the hash of the n-gram before each token (start marks included)."""
-    out = []
-    for n, grams in enumerate(ngrams(tokens, ends, order - 1), 1):
-        before = np.concatenate((grams[:1], grams[:-1])) if len(grams) else grams
-        first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        before = before.copy()
-        mark = _START
-        with np.errstate(over="ignore"):
-            for k in range(2, n + 1):
-                mark = common.mix(np.array([mark * np.uint64(0x9E3779B97F4A7C15) + _START + np.uint64(k)], dtype=np.uint64))[0]
-        before[first] = mark
-        out.append(before)
-    return out
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of equal weight together: sorted hashes then compress well."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-
-
-def _from_planes(b: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _block_keys(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Per size the sorted distinct hashes and each token's place among them; tokens, ends, histories."""
-    tokens, ends = _tokens(texts)
-    keys, places = [], []
-    grams = ngrams(tokens, ends, order)
-    before = histories(tokens, ends, order) if order > 1 else []
-    for n in range(order):
-        k, place = np.unique(grams[n], return_inverse=True)
-        keys.append(k)
-        places.append(place)
-    return keys, places, tokens, ends, before
-
-
-def _count(order: int, bits: int):
-    def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        keys, places, tokens, ends, _ = _block_keys(common.texts(block, "text"), order)
-        starts = np.concatenate(([0], ends[:-1]))
-        train = np.repeat(np.array(block.column("train").to_pylist(), dtype=bool), ends - starts)
-        part, size, hashes, counts = [], [], [], []
-        for n in range(order):
-            c = np.bincount(places[n][train], minlength=len(keys[n])).astype(np.uint32)
-            owner = (keys[n] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys[n]), dtype=np.int64)
-            cuts = np.searchsorted(owner, np.arange((1 << bits) + 1))
-            for p in range(1 << bits):
-                lo, hi = cuts[p], cuts[p + 1]
-                if hi > lo:
-                    part.append(p)
-                    size.append(n + 1)
-                    hashes.append(_planes(keys[n][lo:hi]))
-                    counts.append(_planes(c[lo:hi]))
-        m = len(part)
-        return pa.table([pa.array(part, pa.int32()), pa.array([key[0].as_py()] * m, pa.int64()), pa.array(size, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["part", "block", "size", "hashes", "counts"])
+    def made(pid: int, serial: int, got: list, names: dict) -> pa.RecordBatch:
+        docs, train, lens, ids = zip(*got, strict=True)
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, names), dtype=np.uint64, count=len(names))
+        raw = [pa.array([exchange.pack(x)], pa.binary()) for x in (np.array(train, dtype=bool), np.array(lens, dtype=np.int32), np.concatenate(ids), hashed)]
+        whole = pa.concat_arrays(docs)
+        held = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+        return pa.RecordBatch.from_arrays([pa.array([(pid << 24) + serial], pa.int64()), held, pa.array([len(lens)], pa.int32()), pa.array([sum(lens)], pa.int64()), pa.array([len(names)], pa.int32()), *raw], names=["block", "docs", "texts", "tokens", "width", "train", "lens", "ids", "names"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid, serial = TaskContext.get().partitionId(), 0
+        got, held = [], 0
+        names: dict[bytes, int] = {w: k for k, w in enumerate(_NAMES)}
+        for batch in batches:
+            train = batch.column(2).to_pylist()
+            for k in range(batch.num_rows):
+                raw = batch.column(1)[k].as_py() or b""
+                words = raw.lower().split()
+                ids = np.empty(len(words) + order, dtype=np.int32)
+                ids[: order - 1], ids[-1] = _START, _END
+                for w in words:
+                    if w not in names:
+                        names[w] = len(names)
+                ids[order - 1 : -1] = np.fromiter(map(names.__getitem__, words), dtype=np.int32, count=len(words))
+                got.append((batch.column(0).slice(k, 1), train[k], len(ids), ids))
+                held += len(raw) + 64
+                if held >= block_bytes:
+                    yield made(pid, serial, got, names)
+                    got, held, serial = [], 0, serial + 1
+                    names = {w: k for k, w in enumerate(_NAMES)}
+        if got:
+            yield made(pid, serial, got, names)
 
     return run
 
 
-def _total(group: pa.Table) -> pa.Table:
-    """Totals of one hash range and size, back to each block in its own order; and one
-    row for block -1 with the range's tokens and distinct trained n-grams."""
-    lists = [_from_planes(b, "<u8") for b in group.column("hashes").to_pylist()]
-    counts = [_from_planes(b, "<u4") for b in group.column("counts").to_pylist()]
-    keys, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.uint64)
-    sums = np.array([total.sum(), (total > 0).sum()], dtype=np.uint64)
-    out, at = [], 0
-    for x in lists:
-        out.append(_planes(total[place[at : at + len(x)]]))
-        at += len(x)
-    n = len(lists)
-    part, size = group.column("part")[0].as_py(), group.column("size")[0].as_py()
-    return pa.table(
-        [pa.array([part] * (n + 1), pa.int32()), pa.array([*group.column("block").to_pylist(), -1], pa.int64()), pa.array([size] * (n + 1), pa.int32()), pa.array([*out, sums.tobytes()], pa.binary()), pa.array([int(sums[0])] * (n + 1), pa.int64()), pa.array([int(sums[1])] * (n + 1), pa.int64())],
-        names=["part", "block", "size", "totals", "tokens", "distinct"],
-    )
+def _block(rows: pa.Table, order: int) -> tuple[Grams, np.ndarray]:
+    """The n-grams of a stored block, and which of its texts are trained on."""
+    one = {c: rows.column(c)[0].as_py() for c in ("texts", "tokens", "width", "train", "lens", "ids", "names")}
+    lens = exchange.unpack(one["lens"], "<i4", one["texts"]).astype(np.int64)
+    ids, names = exchange.unpack(one["ids"], "<i4", one["tokens"]), exchange.unpack(one["names"], "<u8", one["width"])
+    return Grams(ids, lens, names, order), exchange.unpack(one["train"], "?", one["texts"])
 
 
-class Automaton:
-    """The slice of the backoff automaton that one block can reach.
-
-    ``arcs[n]`` are the counts of the block's n-grams (n + 1 words), aligned with its
-    sorted distinct hashes ``keys[n]``; state counts are looked up among them.
-    """
-
-    def __init__(self, keys: list[np.ndarray], arcs: list[np.ndarray], n: int, v: int, texts_in_training: int, prior: float):
-        self.keys, self.arcs, self.prior = keys, arcs, prior
-        self.base = (arcs[0] + 1.0) / (n + v + 1.0)
-        self.start = texts_in_training
-
-    def _state(self, size: int, history: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Count of each history; one that begins the text occurs once for each text."""
-        k = np.searchsorted(self.keys[size - 1], history)
-        k = np.minimum(k, len(self.keys[size - 1]) - 1)
-        c = np.where(self.keys[size - 1][k] == history, self.arcs[size - 1][k], 0)
-        return np.where(first, self.start, c)
-
-    def read(self, places: list[np.ndarray], before: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, in text order."""
-        p = self.base[places[0]]
-        for size in range(1, len(self.keys)):
-            c_state = self._state(size, before[size - 1], first)
-            c_arc = self.arcs[size][places[size]]
-            failure = self.prior / (c_state + self.prior)
-            p = np.where(c_arc > 0, (c_arc + self.prior * p) / (c_state + self.prior), failure * p)
-        return np.log10(p)
-
-
-def _score(order: int, n: int, v: int, texts_in_training: int, prior: float):
-    def run(block: pa.Table, slices: pa.Table) -> pa.Table:
-        ids = block.column("doc_id").combine_chunks()
-        keys, places, tokens, ends, before = _block_keys(common.texts(block, "text"), order)
-        got: dict[int, list] = {}
-        for part, size, totals in zip(slices.column("part").to_pylist(), slices.column("size").to_pylist(), slices.column("totals").to_pylist(), strict=True):
-            got.setdefault(size, []).append((part, totals))
-        arcs = [np.concatenate([_from_planes(t, "<u8") for _, t in sorted(got.get(k + 1, []))] or [np.zeros(0, np.uint64)]).astype(np.float64) for k in range(order)]
-        starts = np.concatenate(([0], ends[:-1]))
-        first = np.zeros(len(tokens), dtype=bool)
-        first[starts] = True
-        machine = Automaton(keys, arcs, n, v, texts_in_training, prior)
-        known = (arcs[0] > 0)[places[0]].astype(np.int64)
-        base = np.log10(machine.base)[places[0]]
-        score = machine.read(places, before, first)
-        add = np.add.reduceat
-        return pa.table(
-            [ids, block.column("train").combine_chunks(), pa.array(ends - starts), pa.array(add(known, starts)), pa.array(np.full(len(ids), n, dtype=np.int64)), pa.array(add(base, starts)), pa.array(add(score, starts))],
-            names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+def _count(order: int, bits: int, fan: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        grams, train = _block(rows, order)
+        out = exchange.Outbox(key[0].as_py(), bits, fan)
+        for n, c in enumerate(grams.counts(np.repeat(train, grams.lens))):
+            out.send(n + 1, grams.hash[n][grams.rank[n]], [c[grams.rank[n]].astype(np.uint32)])
+        return out.table()
+
+    return run
+
+
+def _total(keys: np.ndarray, counts: np.ndarray):
+    """Totals, and which entry speaks for its n-gram."""
+    kinds, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(place, weights=counts, minlength=len(kinds)).astype(np.uint64)
+    speaks = np.zeros(len(keys), dtype=bool)
+    speaks[first] = True
+    return [total[place], speaks], total.sum(), (total > 0).sum()
+
+
+def _totals(grams: Grams, answers: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    got = exchange.received(answers, {n + 1: _TOTAL for n in range(grams.order)})
+    total, speaks = [], []
+    for n in range(grams.order):
+        c, s = np.empty(len(grams.rank[n]), dtype=np.uint64), np.empty(len(grams.rank[n]), dtype=bool)
+        c[grams.rank[n]], s[grams.rank[n]] = got[n + 1]
+        total.append(c)
+        speaks.append(s)
+    return total, speaks
+
+
+def _follow(order: int, bits: int, fan: int, n: int, v: int, discount: float):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return exchange.Outbox(0, bits, fan).table()
+        grams, _ = _block(rows, order)
+        total, speaks = _totals(grams, answers)
+        weights = Weights(grams, total, n, v, discount)
+        out = exchange.Outbox(rows.column("block")[0].as_py(), bits, fan)
+        for m in range(1, order):
+            t, s = weights.following(m, speaks[m])
+            asked = grams.rank[m - 1]
+            asked = asked[total[m - 1][asked] > 0]
+            out.send(m, grams.hash[m - 1][asked], [t[asked], s[asked]])
+        return out.table()
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _spare(keys: np.ndarray, t: np.ndarray, s: np.ndarray):
+    kinds, place = np.unique(keys, return_inverse=True)
+    after = np.bincount(place, weights=t, minlength=len(kinds))
+    mass = np.bincount(place, weights=s, minlength=len(kinds))
+    return [(after / (1 - mass))[place]], 0, 0
+
+
+def _score(order: int, n: int, v: int, discount: float):
+    names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, train = _block(rows, order)
+        total, _ = _totals(grams, answers)
+        weights = Weights(grams, total, n, v, discount)
+        got = exchange.received(answers, {-m: ["<f8"] for m in range(1, order)})
+        spare = []
+        for m in range(1, order):
+            x = np.zeros(len(grams.rank[m - 1]))
+            asked = grams.rank[m - 1]
+            x[asked[total[m - 1][asked] > 0]] = got[-m][0]
+            spare.append(x)
+        machine = Automaton(weights, spare)
+        ids = rows.column("docs").combine_chunks().flatten()
+        scored = grams.into >= order - 1
+        text = np.repeat(np.arange(len(grams.lens)), grams.lens)[scored]
+        word = grams.ids[scored]
+        known = np.bincount(text, weights=(total[0] > 0)[word], minlength=len(ids)).astype(np.int64)
+        base = np.bincount(text, weights=np.log10(weights.arc[0])[word], minlength=len(ids))
+        columns = [ids, pa.array(train), pa.array(grams.lens - (order - 1)), pa.array(known), pa.array(np.full(len(ids), n, dtype=np.int64)), pa.array(base), pa.array(machine.read(grams.ids, grams.lens, order))]
+        return pa.table(columns, names=names)
+
+    def guarded(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if rows.num_rows:
+            return run(rows, answers)
+        kind = rows.schema.field("docs").type.value_type
+        return pa.table([pa.array([], t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+
+    return guarded
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, fan: int = exchange.FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row;
-    rows whose crc32 of the id modulo ``modulus`` is ``held`` are scored but not learned.
-    ``order`` is 1 to 3 (a history that begins a text is counted by texts for size 1)."""
+    rows whose crc32 of the id modulo ``modulus`` is ``held`` are scored but not learned."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (common.remainder(id_col, modulus) != held).alias("train"))
-    size, trained = rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first()
-    blocks = max(common.partitions(spark), -(-(size or 0) // block_bytes))
-    bits = max(0, int(np.ceil(np.log2(blocks))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks))).repartition(blocks, "block")
-    counted = dealt.groupBy("block").applyInArrow(_count(order, bits), _PART)
-    totals = common.materialise(counted.groupBy("part", "size").applyInArrow(_total, "part int, block long, size int, totals binary, tokens long, distinct long"), "lm-totals")
-    n, v = totals.where("block = -1 and size = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    slices = totals.where("block >= 0").select("block", "part", "size", "totals")
-    out = dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(
-        _score(order, int(n), int(v), int(trained or 0), prior), f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), (common.remainder(id_col, modulus) != held).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(common.partitions(spark), -(-size // block_bytes))
+    bits = exchange.bits_for(buckets)
+    stored = common.bucketed(rows.mapInArrow(_gather(order, block_bytes), f"block long, docs array<{kind}>, texts int, tokens long, width int, train binary, lens binary, ids binary, names binary"), "block", buckets)
+    sent = stored.groupBy("block").applyInArrow(_count(order, bits, fan), exchange.MESSAGE)
+    answers = common.materialise(exchange.ask(sent, _total, bits, buckets, ["<u4"], fan), "lm-totals")
+    starts = stored.select(F.sum("texts")).first()[0] or 0
+    trained = rows.agg(F.count_if("train")).first()[0] if order > 1 else 0
+    n, v = answers.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    # start marks are counted for histories only
+    n, v = int(n) - int(trained or 0), int(v) - int(bool(trained))
+    totals = exchange.deliver(answers, bits, _TOTAL, fan)
+    if order > 1 and starts:
+        sent = stored.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_follow(order, bits, fan, n, v, discount), exchange.MESSAGE)
+        spare = common.materialise(exchange.ask(sent, _spare, bits, buckets, ["<u4", "<f8"], fan), "lm-spare")
+        back = exchange.deliver(spare, bits, ["<f8"], fan).withColumn("kind", -F.col("kind"))
+        totals = totals.unionByName(back)
+    out = stored.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
+        _score(order, n, v, discount), f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
