@@ -9,6 +9,7 @@ that setting exists.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 import numpy as np
@@ -38,13 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is set only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder.  Where the session names none, a local master gets a
+    temporary one, and a cluster an error: its executors share no local folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_quillon_dir", None)
     if not where:
-        where = getattr(spark.sparkContext, "_quillon_dir", None)
-        if not where:
-            where = f"/tmp/checkpoints/quillon-{uuid.uuid4().hex}"
-            spark.sparkContext._quillon_dir = where
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        where = spark.sparkContext._quillon_dir = tempfile.mkdtemp(prefix="quillon-")
     return where
 
 
@@ -96,11 +97,6 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
-def lower_ascii(b: bytes) -> bytes:
-    """``bytes.lower`` changes A-Z only."""
-    return b.lower()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (two multiply-xorshift rounds) over an unsigned array."""
     with np.errstate(over="ignore"):

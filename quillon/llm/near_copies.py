@@ -11,6 +11,9 @@ set is compared with the least and the greatest of its cells, which joins most o
 of copies.  Then all pairs of a cell that are in different components yet are compared, so
 no candidate is left out, and a large group is not listed pair by pair.
 
+The operator only adds to SimHash groups: fingerprints within a few bits reach few of the
+pairs near the similarity asked for.
+
 Equal sets are one node from the start.  Texts without a word have no set.
 """
 
@@ -81,9 +84,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
     return found
 
 
-def components(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def components(rows: DataFrame, similarity: float = SIMILARITY, links: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes that have a near copy; ``rows`` is a written table of
-    :func:`sketches`."""
+    :func:`sketches`, ``links`` (a, b) are pairs of nodes known to be near copies."""
     nodes = rows.where("node is not null").select("node", F.size("members").alias("n"), "cells").dropDuplicates(["node"])
     cells = common.materialise(nodes.select("node", "n", F.explode("cells").alias("cell")), "near-cells")
     ends = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node <> high.node")
@@ -93,6 +96,8 @@ def components(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     star = [shared.where(F.col("node") != F.col(f"{e}.node")).where(alike(F.col("n"), F.col(f"{e}.n"))).select(F.least("node", f"{e}.node").alias("a"), F.greatest("node", f"{e}.node").alias("b")) for e in ("low", "high")]
     tried = common.materialise(star[0].unionByName(star[1]).distinct(), "near-pairs")
     first = _verified(tried, rows, similarity)
+    if links is not None:
+        first = first.unionByName(links.select("a", "b"))
     label = simhash.components(first)
     placed = shared.select("cell", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("cell").agg(F.min("component").alias("_p"), F.max("component").alias("_q"), F.count("*").alias("_k")).where("_p <> _q and _k > 2").select("cell")
@@ -107,9 +112,14 @@ def components(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = simhash.SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = simhash.SHINGLE, similarity: float = SIMILARITY, classes: DataFrame | None = None) -> DataFrame:
     """One row for each document: doc_id, text_hash, component (null for texts without a
-    word)."""
+    word).  ``classes`` (text_hash, class) names texts that are near copies already."""
     rows = common.materialise(sketches(docs, id_col, text_col, shingle), "near-sketches")
-    found = components(rows, similarity)
+    links = None
+    if classes is not None:
+        placed = rows.where("node is not null").select("text_hash", "node").distinct().join(classes.distinct(), "text_hash").select("class", "node").distinct()
+        least = placed.groupBy("class").agg(F.min("node").alias("b"))
+        links = common.materialise(placed.join(least, "class").where("node <> b").select(F.col("node").alias("a"), "b"), "near-known")
+    found = components(rows, similarity, links)
     return rows.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))

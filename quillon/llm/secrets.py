@@ -170,7 +170,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     counts as in PATTERNS, and ``len(PATTERNS)`` is ``random``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[pattern_spans(text, k) for k in range(len(PATTERNS))])
-    found = common.materialise(docs.select(*keep, base.alias("_base"), candidates(text).alias("cands")), "secrets")
+    found = common.materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), base.alias("_base"), candidates(text).alias("cands")), "secrets")
     first = thresholds(found)
     random = len(PATTERNS)
     if first:
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
         ordinary = lambda c: F.lit(False)
     free = lambda c: ~F.exists("_base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
     more = F.transform(F.filter("cands", lambda c: ~ordinary(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(random).alias("kind"), c["stop"].alias("stop"))).cast(_SPAN)
-    return found.select(*keep, F.sort_array(F.concat("_base", more)).alias("spans"))
+    return found.select("keep.*", F.sort_array(F.concat("_base", more)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 
@@ -41,6 +42,58 @@ def test_toxic_stage_and_packing(spark, source):
     assert cp.toxic_out(spark, docs.limit(0), source).count() == 0
 
 
+CLASHING = ["rate", "spans", "_base", "keep", "cands", "_id", "_hash", "own", "row", "copy", "text_hash", "node", "component", "doc_id_", "key_id", "_t"]
+
+
+@pytest.mark.parametrize(("name", "stage"), cp.STAGES)
+def test_extra_columns_of_clashing_names(spark, source, name, stage):
+    docs = spark.read.parquet(f"{source}/documents.parquet").where("doc_id < 120 or doc_id % 7 = 0")
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    out = stage(spark, more, source)
+    if name == "packing":
+        assert out.where("piece = 0").count() == docs.count()
+        return
+    assert out.columns == more.columns
+    rows = out.collect()
+    assert len(rows) > 50 and all(r[c] == k for r in rows for k, c in enumerate(CLASHING))
+
+
+@pytest.mark.parametrize(("name", "stage"), cp.STAGES)
+def test_empty_table_and_odd_rows(spark, source, name, stage):
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    assert stage(spark, docs.limit(0), source).count() == 0
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, "en", "a", 1), (1, "same id, other text", "en", "a", 1), (2, None, "en", "a", None), (2, None, "en", "a", None), (3, "", None, None, 0), (None, "no id here", "en", "a", 1), (None, None, None, None, None), (4, " \n ", "en", "a", 3)]
+    out = cp.common.materialise(stage(spark, spark.createDataFrame(rows, docs.schema), source), "test")
+    if name == "packing":
+        assert out.where("piece = 0").count() == len(rows)
+        return
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    want = Counter((i, t) for i, t, *_ in rows)
+    if name == "near_duplicates":
+        want[2, None] = 1
+    if name == "mixing":
+        assert got.keys() == want.keys() and all(got[k] >= want[k] for k in want)
+    else:
+        assert got == want
+
+
+def test_run_is_its_stages(spark, source):
+    """``run`` is the stages one after another; clean rows come through, planted copies,
+    secrets and toxic rows do not."""
+    packed = cp.run(spark, source)
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.common.materialise(stage(spark, docs, source), f"test-{name}")
+    want = Counter()
+    for r in docs.select("doc_id").collect():
+        want[r.doc_id] += 1
+    got = Counter(r.doc_id for r in packed.where("piece = 0").select("doc_id").collect())
+    assert got == want
+    size = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert size.where("n > 2048 or n <> end").count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
