@@ -48,8 +48,8 @@ def cross_entropy(logits: Column, target: Column) -> Column:
 
 def filter_logits(rows: DataFrame, temperature: float, top_k: int, top_p: float, allowed: Column | None = None) -> DataFrame:
     """(row_id, token_id, p) of the tokens that stay: temperature (at least 1e-5), an
-    allow-list, top-k with ties kept, then the smallest set whose probability before its
-    last token is at most top_p."""
+    allow-list, top-k with ties kept, then, for 0 < top_p < 1, the smallest set whose
+    probability before its last token is at most top_p."""
     df = rows if allowed is None else rows.where(allowed)
     df = df.withColumn("z", F.col("logit") / max(temperature, 1e-5))
     by = Window.partitionBy("row_id")
@@ -57,9 +57,11 @@ def filter_logits(rows: DataFrame, temperature: float, top_k: int, top_p: float,
         df = df.withColumn("r", F.rank().over(by.orderBy(F.desc("z")))).where(F.col("r") <= top_k)
     df = df.withColumn("w", F.exp(F.col("z") - F.max("z").over(by)))
     df = df.withColumn("p", F.col("w") / F.sum("w").over(by))
+    if not 0 < top_p < 1:
+        return df.select("row_id", "token_id", "p")
     before = by.orderBy(F.desc("z"), "token_id").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("before", F.coalesce(F.sum("p").over(before), F.lit(0.0)))
-    return df.where((F.col("before") <= top_p) | (F.lit(top_p) >= 1)).select("row_id", "token_id", "p")
+    return df.where(F.col("before") <= top_p).select("row_id", "token_id", "p")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 64) -> DataFrame:

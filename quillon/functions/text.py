@@ -44,9 +44,8 @@ def augment(caption: Column, metadata: Column) -> Column:
 
 def byte_tokens(text: Column) -> Column:
     """UTF-8 bytes as integers; an empty text gives an empty array."""
-    b = F.encode(text, "UTF-8")
-    one = lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("int")
-    return F.when(F.octet_length(text) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(text)), one)).otherwise(F.array().cast("array<int>"))
+    b = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # one character for each byte
+    return F.when(F.octet_length(text) > 0, F.transform(F.split(b, ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
 
 
 def truncate(ids: Column, most: int | None) -> Column:

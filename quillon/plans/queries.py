@@ -259,11 +259,11 @@ def caption_augment(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.augment(a, b).alias("caption"), text.collapse(F.col("text")).alias("plain"))
 
 
-@query("""with b as (select doc_id, hex(encode(text)) as h from documents), t as (select doc_id, unnest(generate_series(1, least(length(h) // 2, 192))) as i, h from b)
-select doc_id, count(*) as n, sum(cast(cast('0x' || substr(h, 2 * i - 1, 2) as int) + 10 as bigint) * i) as checksum from t group by doc_id""")
+@query("""with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), t as (select doc_id, unnest(generate_series(1, length(h) // 2)) as i, h from b),
+ c as (select doc_id, count(*) as n, cast(sum(cast(cast('0x' || substr(h, 2 * i - 1, 2) as int) + 10 as bigint) * i) as bigint) as checksum from t group by doc_id) select b.doc_id, coalesce(n, 0) as n, coalesce(checksum, 0) as checksum from b left join c using (doc_id)""")
 def byte_tokens(spark, sf_dir):
-    ids = sequences.shift(text.truncate(text.byte_tokens(F.substring("text", 1, 192)), 192), sequences.TEXT_OFFSET)
-    df = read(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", ids.alias("ids"))
+    ids = sequences.shift(text.byte_tokens(F.coalesce("text", F.lit(""))), sequences.TEXT_OFFSET)
+    df = read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
     check = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select("doc_id", F.size("ids").cast("long").alias("n"), check.alias("checksum"))
 
@@ -328,10 +328,10 @@ def collate_batches(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("width"), real.cast("long").alias("real"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("pad"))
 
 
-@query("select doc_id from documents where doc_id % 4 = 1 and doc_id >= 50 and doc_id < 900")
+@query("""with r as (select doc_id, row_number() over (order by doc_id) - 1 as place from documents) select doc_id, place, place % 4 as worker, place >= 50 as due from r""")
 def worker_stride(spark, sf_dir):
-    docs = sequences.resume_from(read(spark, sf_dir, "documents"), "doc_id", 50, 900)
-    return sequences.stride(docs, F.col("doc_id"), 4, 1).select("doc_id")
+    docs = excerpts.ranked(read(spark, sf_dir, "documents").select("doc_id"), F.expr("doc_id div 1024"), [F.col("doc_id")])
+    return docs.select("doc_id", "place", (F.col("place") % 4).alias("worker"), (F.col("place") >= 50).alias("due"))
 
 
 @query("""with d as (select doc_id, list_transform(range(0, cast(n_chars % 50 as bigint)), lambda i: (i * 37 + doc_id) % 600) as ids from documents), t as (select doc_id, ids, list_position(ids, 1) as b from d), u as (select doc_id, case when b > 0 then list_slice(ids, b + 1, len(ids)) else ids end as tail from t),
@@ -480,12 +480,30 @@ def lr_schedule(spark, sf_dir):
 # ---- iterative operators: no SQL; tested against folds ---------------------------------------
 
 
-@query(None)
+def excerpt_sql(roles: str, budgets: dict, beat: int, keep_over: bool) -> str:
+    most = "case role " + " ".join(f"when '{r}' then {n}" for r, n in budgets.items()) + " end"
+    return f"""with {TL}, r as (select score_id, seq, time, time + dur as stop, {roles} as role from ev),
+ h as (select score_id, max(stop) as fin, (arg_min(time, md5('42:' || score_id || ':' || seq)) // {beat}) * {beat} as home, cast('0x' || substr(md5('43:' || score_id), 1, 3) as int) as u from r group by score_id),
+ k as (select r.*, fin, home, u, {most} as most, greatest(case when home < stop then 1 when u = 0 then 1099511627776 else cast(ceil(((home - stop) // {beat} + 1) * 4096 / u) as bigint) end,
+  case when time >= home then (((time - home) // {beat}) * 4096) // (4096 - u) else 0 end + 1) as k from r join h using (score_id)),
+ f as (select score_id, greatest(min(k) - 1, 1) as beats from (select *, row_number() over (partition by score_id, role order by k, seq) as place from k) where place = most + 1 group by score_id),
+ n as (select score_id, role, any_value(most) as most, count(*) filter (beats is null or k <= beats) as n, any_value(beats) as beats, any_value(fin) as fin, any_value(home) as home, any_value(u) as u from k left join f using (score_id) group by score_id, role),
+ g as (select score_id, cast(sum(n) as bigint) as tokens, bool_or(n > most) as over, count(*) filter (n > 0) as roles, any_value(beats) as beats, any_value(fin) as fin, any_value(home) as home, any_value(u) as u from n group by score_id)
+ select score_id, case when beats is null then 0 else greatest(0, home - ((beats * u) // 4096) * {beat}) end as start, case when beats is null then fin else least(fin, home + (beats - (beats * u) // 4096) * {beat}) end as stop, tokens, over from g {"" if keep_over else f"where not over and roles = {len(budgets)}"}"""
+
+
+@query(excerpt_sql("'all'", {"all": 40}, 480, True))
 def excerpt_fit(spark, sf_dir):
-    return excerpts.fit_excerpts(events(spark, sf_dir), 40, 480)
+    return excerpts.fit_excerpts(events(spark, sf_dir), {"all": 40}, 480)
 
 
-@query(None)
+@query(excerpt_sql("case when track = 'click' then 'target' else 'context' end", {"target": 10, "context": 20}, 480, False))
+def add_track_fit(spark, sf_dir):
+    role = F.when(F.col("track") == "click", "target").otherwise("context")
+    return excerpts.fit_excerpts(events(spark, sf_dir), {"target": 10, "context": 20}, 480, role=role, keep_over=False)
+
+
+@query("""select source, doc_id, row_number() over (partition by source order by md5('42:' || doc_id), doc_id) - 1 as place from documents where source is not null""")
 def seeded_shuffle(spark, sf_dir):
     return excerpts.shuffled(read(spark, sf_dir, "documents"), "source", "doc_id", 42)
 
@@ -495,6 +513,7 @@ def decode_tokens(spark, sf_dir):
     ev = events(spark, sf_dir)
     part = lambda k, token: F.struct(F.lit(k).alias("k"), token.alias("token"))
     s = lambda c: c.cast("string")
-    tokens = F.array(part(0, F.lit("Bar_None")), part(1, F.concat(F.lit("Position_"), s(F.col("time") % 16))), part(2, F.concat(F.lit("Program_"), s(F.col("number")))), part(3, F.concat(F.lit("Pitch_"), s(F.col("value")))), part(4, F.lit("Velocity_64")), part(5, F.concat(F.lit("Duration_"), s(F.col("dur")))))
-    long = ev.select("score_id", "seq", F.explode(tokens).alias("t")).select("score_id", (F.col("seq") * 6 + F.col("t.k")).alias("pos"), F.col("t.token").alias("token"))
+    special = F.when(F.col("number") == 0, F.concat(F.lit("Tempo_"), s(F.col("value") + 60))).when(F.col("number") == 1, F.lit("Pedal_0")).when(F.col("number") == 2, F.lit("PedalOff_0")).otherwise(F.concat(F.lit("Rest_"), s(F.col("dur") % 3), F.lit("."), s(F.col("dur") % 4)))
+    tokens = F.array(part(0, F.lit("Bar_None")), part(1, F.concat(F.lit("Position_"), s(F.col("time") % 16))), part(2, F.concat(F.lit("Program_"), s(F.col("number")))), part(3, F.concat(F.lit("Pitch_"), s(F.col("value")))), part(4, F.lit("Velocity_64")), part(5, F.concat(F.lit("Duration_"), s(F.col("dur")))), part(6, special))
+    long = ev.select("score_id", "seq", F.explode(tokens).alias("t")).select("score_id", (F.col("seq") * 7 + F.col("t.k")).alias("pos"), F.col("t.token").alias("token"))
     return excerpts.decode(long)

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.functions import text
+from quillon.functions import arrays, text
 from quillon.operators import excerpts, sequences, statistics, timeline, vocab
 
 
@@ -65,24 +65,65 @@ def test_text(spark):
     assert got[0].b == list("  a b\u0085c\x1cd ".encode()) and got[1].b == []
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 5000), st.integers(1, 400)), min_size=1, max_size=60), st.integers(1, 30), st.integers(0, 5))
-def test_excerpt_stays_inside(notes, budget, seed):
-    times, durs = [t for t, _ in notes], [d for _, d in notes]
-    a, b, n = excerpts.fit(times, durs, budget, 480, seed)
-    assert 0 <= a < b <= max(t + d for t, d in notes)
-    assert n == sum(t + d > a and t < b for t, d in notes) <= len(notes)
-    assert excerpts.fit(times, durs, budget, 480, seed) == (a, b, n)
-
-
-def test_shuffle_and_decode(spark):
-    df = spark.createDataFrame([("a", k) for k in range(10)], "s string, k int")
-    want = list(range(10))
-    random.Random(3).shuffle(want)
-    assert [r.k for r in excerpts.shuffled(df, "s", "k", 3).orderBy("place").collect()] == want
-    tokens = ["Bar_None", "Position_4", "Program_3", "Pitch_60", "Velocity_90", "Duration_2", "Bar_None", "Pitch_1", "Duration_2", "Velocity_5"]
-    got = excerpts.decode(spark.createDataFrame([(1, k, t) for k, t in enumerate(tokens)], "score_id long, pos long, token string")).collect()
-    assert [tuple(r) for r in got] == [(1, 3, 480, 240, 60, 90)]
+def test_excerpts_are_the_widest_that_fit(spark):
+    """Whole scores within budget, else the widest window of the drawn family."""
+    rnd = random.Random(7)
+    rows = [(s, k, rnd.randint(0, 5000), rnd.randint(1, 400), rnd.choice("ab")) for s in range(40) for k in range(rnd.randint(1, 60))]
+    df = spark.createDataFrame(rows, "score_id long, seq long, time long, dur long, r string")
+    for budgets, keep in (({"x": 12}, True), ({"a": 5, "b": 9}, False)):
+        role = None if keep else F.col("r")
+        got = {r.score_id: r for r in excerpts.fit_excerpts(df, budgets, 480, role=role, keep_over=keep).collect()}
+        assert got and (not keep or len(got) == 40)
+        for s in range(40):
+            own = [r for r in rows if r[0] == s]
+            inside = lambda a, b: [r for r in own if r[2] + r[3] > a and r[2] < b]
+            most = lambda part: {k: sum(keep or r[4] == k for r in part) for k in budgets}
+            fits = lambda part: all(n <= budgets[k] for k, n in most(part).items())
+            if s not in got:
+                continue
+            g = got[s]
+            part = inside(g.start, g.stop)
+            end = max(r[2] + r[3] for r in own)
+            assert 0 <= g.start < g.stop <= end and g.tokens == len(part) and g.over == (not fits(part))
+            if fits(own):
+                assert (g.start, g.stop) == (0, end)
+            elif not g.over:  # a beat more on some side is over the budget
+                assert not (fits(inside(g.start - 480, g.stop)) and fits(inside(g.start, g.stop + 480)))
+            else:
+                assert keep and g.stop - g.start <= 480
+
+
+def test_shuffle_is_a_seeded_permutation(spark):
+    df = spark.createDataFrame([(s, k) for s in "ab" for k in range(50)] + [(None, 1)], "s string, k int")
+    by = {seed: {(r.s, r.place): r.k for r in excerpts.shuffled(df, "s", "k", seed).collect()} for seed in (3, 4)}
+    for order in by.values():
+        for s in "ab":
+            assert sorted(order[s, p] for p in range(50)) == list(range(50))
+    assert by[3] != by[4] and [by[3]["a", p] for p in range(50)] != list(range(50))
+    got = excerpts.ranked(df.where("s = 'a'"), F.expr("k div 7"), [F.col("k")]).collect()
+    assert all(r.place == r.k for r in got)
+
+
+def test_decode_of_every_token_kind(spark):
+    tokens = "Bar_None TimeSig_3/4 Position_4 Program_3 Pitch_60 Velocity_90 Duration_2 Tempo_121.5 Pedal_0 Bar_None Pitch_1 Duration_2 Velocity_5 ControlChange_11 CCValue_40 PedalOff_0 PitchBend_-64 Rest_1.2 Pitch_7 Velocity_8 Duration_9 Pedal_0 Duration_3 Rest_2.0 Position_0 Pedal_0 Pitch_9 Velocity_1 Duration_1".split()
+    got = [tuple(r)[1:] for r in excerpts.decode(spark.createDataFrame([(1, k, t) for k, t in enumerate(tokens)], "score_id long, pos long, token string")).collect()]
+    assert got == [
+        (0, 0, 0, "TimeSig", 3, 4.0),
+        (3, 480, 240, "Note", 60, 90.0),
+        (3, 480, 0, "Tempo", 0, 121.5),
+        (3, 480, 960, "Pedal", 64, 127.0),  # closed a bar of 1,440 ticks after it began
+        (3, 1440, 0, "Control", 11, 40.0),
+        (3, 1440, 0, "PitchBend", 0, -64.0),
+        (3, 2160, 1080, "Note", 7, 8.0),
+        (3, 2160, 360, "Pedal", 64, 127.0),
+        (3, 2880, 360, "Pedal", 64, 127.0),  # open at the end of the score
+        (3, 2880, 120, "Note", 9, 1.0),
+    ]
+
+
+def test_logit_filter_ignores_top_p_of_zero(spark):
+    df = spark.createDataFrame([(1, k, float(k)) for k in range(5)], "row_id int, token_id int, logit double")
+    assert [arrays.filter_logits(df, 1.0, 0, p).count() for p in (0.0, 1.0, 1e-9)] == [5, 5, 1]
 
 
 def test_vocab_extension(spark):
