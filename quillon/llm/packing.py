@@ -26,7 +26,6 @@ in the input are packed once each.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -296,14 +295,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64,
             times -= t
     # best fit: what the rounded-down program left over, then the small lengths
     rooms: dict[int, list[Run]] = {}
-    heap: list[int] = []
 
     def keep(run: Run) -> None:
         if run.room <= 0:
             done.append(run)
             return
-        if not rooms.get(run.room):
-            heapq.heappush(heap, run.room)
         rooms.setdefault(run.room, []).append(run)
 
     for run in runs:
