@@ -64,6 +64,15 @@ def filter_logits(rows: DataFrame, temperature: float, top_k: int, top_p: float,
     return df.where(F.col("before") <= top_p).select("row_id", "token_id", "p")
 
 
+def most_likely(rows: DataFrame) -> DataFrame:
+    """(row_id, token_id) of rows (row_id, token_id, logit, p) whose probabilities cannot be
+    drawn from (null, not a number, or a sum under 1e-8): the allowed token of the greatest
+    logit, the least id of equals."""
+    bad = F.coalesce(F.max(F.isnan("p") | F.col("p").isNull()) | (F.sum("p") < 1e-8), F.lit(True))
+    best = F.max_by(F.col("token_id"), F.struct("logit", (-F.col("token_id")).alias("back")))
+    return rows.groupBy("row_id").agg(bad.alias("bad"), best.alias("token_id")).where("bad").drop("bad")
+
+
 def histogram(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
     """Equal-width bins over [min, max], the last closed; a constant column is widened by
     half to each side.  Two aggregations; the bounds are one row."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +53,52 @@ def byte_tokens(text: Column) -> Column:
 
 def truncate(ids: Column, most: int | None) -> Column:
     return ids if most is None else F.slice(ids, 1, most)
+
+
+#: The characters of one byte each that together are one whole UTF-8 character.
+_WHOLE = (
+    r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+
+
+def byte_text(ids: Column) -> Column:
+    """Integers to text: cut to 0..255, read as UTF-8, bytes that are part of no whole
+    character left out; null gives null."""
+    one = F.array_join(F.transform(ids, lambda x: F.char(F.greatest(F.lit(0), F.least(F.lit(255), x)))), "")
+    whole = F.regexp_replace(one, f"(?s)({_WHOLE})|.", "$1")
+    return F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8")
+
+
+def strip(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+
+
+def add_track_prompt(instrument: Column, extra: Column) -> Column:
+    """The prompt that asks for a track; a blank ``extra`` adds nothing."""
+    return F.concat_ws(" | ", F.concat(F.lit("add track: "), strip(instrument)), F.nullif(strip(extra), F.lit("")))
+
+
+def encoder(path: str | None):
+    """A function from text to ids by a vocabulary file of the tokenizers library (Arrow
+    batches); without a file or the library byte tokens, with a warning.  The file must be
+    readable on every executor.  Null gives null."""
+    try:
+        import tokenizers
+    except ImportError:
+        tokenizers = None
+    if path is None or tokenizers is None:
+        warnings.warn("no sub-word vocabulary: text is encoded as bytes", stacklevel=2)
+        return byte_tokens
+    loaded = []
+
+    @F.pandas_udf("array<int>")
+    def ids(text: pd.Series) -> pd.Series:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        return text.map(lambda t: None if t is None else loaded[0].encode(t, add_special_tokens=False).ids)
+
+    return ids

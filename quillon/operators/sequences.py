@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +64,46 @@ def chunk_split(df: DataFrame, key: str, order: list[Column | str], chunk: int,
 def pack(df: DataFrame, shard: str, order: list[str], length: str, limit: int) -> DataFrame:
     """Greedy packing within each shard: a sample joins the open pack while the sum stays
     within the limit, else it opens the next; a sample over the limit has its own pack.
-    One fold over each shard's ordered lengths; shards bound the array."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, length)))
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        n = x[length].cast("long")
-        fits = (a["pack"] >= 0) & (a["used"] + n <= limit)
-        pack = F.when(fits, a["pack"]).otherwise(a["pack"] + 1)
-        return F.struct(pack.alias("pack"), F.when(fits, a["used"] + n).otherwise(n).alias("used"), F.concat(a["out"], F.array(pack)).alias("out"))
-
-    g = df.groupBy(shard).agg(rows.alias("_rows"))
-    g = g.withColumn("_p", F.aggregate("_rows", start, step)["out"])
-    return g.select(shard, F.explode(F.arrays_zip("_rows", "_p")).alias("z")).select(shard, "z._rows.*", F.col("z._p").alias("pack"))
+    A shard is one group of rows (order and length alone), so shards must be bounded; the
+    packs are found by one search in its running sums each."""
+    rows = df.select(shard, *order, length)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order], null_placement="at_start"))
+        total = np.cumsum(table[length].fill_null(0).to_numpy().astype(np.int64))
+        packs, at, number = np.zeros(len(total), np.int32), 0, 0
+        while at < len(total):
+            before = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
+            packs[at:end] = number
+            at, number = end, number + 1
+        return table.append_column("pack", pa.array(packs))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(shard).applyInArrow(run, f"{kinds}, pack int")
+
+
+def packed_samples(df: DataFrame, shard: str, order: list[str], limit: int) -> DataFrame:
+    """Samples (shard, order, mode, input_ids, labels) joined pack by pack in their order; a
+    pack has the mode of its first sample."""
+    places = pack(df.withColumn("_n", F.size("input_ids")), shard, order, "_n", limit).drop("_n")
+    first = F.array_sort(F.collect_list(F.struct(*order, "mode", "input_ids", "labels"))).alias("_s")
+    g = df.join(places, [shard, *order]).groupBy(shard, "pack").agg(first)
+    whole = lambda c: F.flatten(F.transform("_s", lambda x: x[c]))
+    return g.select(shard, "pack", F.element_at("_s", 1)["mode"].alias("mode"), whole("input_ids").alias("input_ids"), whole("labels").alias("labels"))
+
+
+def compact(samples: DataFrame) -> DataFrame:
+    """Mode, ids and labels as 32-bit integers, and the source path where there is one."""
+    kept = [F.col("mode"), *[F.col(c).cast("array<int>").alias(c) for c in ("input_ids", "labels")]]
+    return samples.select(*kept, *[F.col(c) for c in ("source_midi_path",) if c in samples.columns])
+
+
+def shard_order(shards: DataFrame, split: str, shard: str, seed: int, epoch: int, workers: int) -> DataFrame:
+    """Place of each shard in an epoch, drawn by a hash of seed + epoch, and its worker."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(shard).cast("string")).cast("binary"))
+    place = F.row_number().over(Window.partitionBy(split).orderBy(drawn, shard)) - 1
+    return shards.withColumn("place", place).withColumn("worker", F.pmod(F.col("place"), F.lit(workers)))
 
 
 def collate(df: DataFrame, batch: str, ids: str, labels: str, most: int) -> DataFrame:

@@ -58,6 +58,72 @@ def mean_of_batches(df: DataFrame, batch: str, loss: str) -> DataFrame:
     return by.agg(F.avg("_l").alias("loss"), F.count("*").alias("batches"))
 
 
+#: The kinds that are counted for a score, tracks aside.
+KINDS = ("notes", "controls", "pedals", "pitch_bends", "lyrics", "markers", "tempos", "time_signatures", "key_signatures")
+
+
+def event_counts(scores: DataFrame, tracks: DataFrame, events: DataFrame) -> DataFrame:
+    """Tracks and events of each kind for every score, zeros included: scores (score_id),
+    tracks (score_id, one row a track), events (score_id, kind).  Counted in one
+    aggregation; other kinds are left out."""
+    tagged = events.select("score_id", "kind").unionByName(tracks.select("score_id", F.lit("tracks").alias("kind")))
+    tagged = tagged.unionByName(scores.select("score_id", F.lit("").alias("kind")))
+    return tagged.groupBy("score_id").agg(F.max(F.col("kind") == "").alias("_listed"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("tracks", *KINDS)]).where("_listed").drop("_listed")
+
+
+def control_numbers(controls: DataFrame, key: str = "score_id", number: str = "number") -> DataFrame:
+    """Distinct control numbers of each score, ascending."""
+    return controls.groupBy(key).agg(F.sort_array(F.collect_set(number)).alias("numbers"))
+
+
+def has_any(scores: DataFrame, pedals: DataFrame, bends: DataFrame, key: str = "score_id") -> DataFrame:
+    """Whether each score has a pedal, and whether it has a bend."""
+    none = F.lit(False)
+    tagged = scores.select(key, none.alias("p"), none.alias("b"))
+    tagged = tagged.unionByName(pedals.select(key, F.lit(True).alias("p"), none.alias("b"))).unionByName(bends.select(key, none.alias("p"), F.lit(True).alias("b")))
+    return tagged.groupBy(key).agg(F.bool_or("p").alias("has_pedals"), F.bool_or("b").alias("has_bends"))
+
+
+def parameter_norm(values: DataFrame, value: str) -> DataFrame:
+    """Root of the sum of squares, and the number of values."""
+    return values.agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"), F.count(value).alias("n"))
+
+
+def epoch_summary(items: DataFrame) -> DataFrame:
+    """Samples of each epoch, from (epoch, mode, error, num_notes, num_tracks): successes,
+    errors, their rate (null without a scratch sample), totals, averages over successes
+    (null without one), and the add-track sample (null without one; its totals are zero if
+    it failed)."""
+    scratch, ok = F.col("mode") == "scratch", F.col("error").isNull()
+    add = F.col("mode") == "add_track"
+    some = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
+    out = items.groupBy("epoch").agg(
+        F.count_if(scratch & ok).alias("scratch_success"),
+        F.count_if(scratch & ~ok).alias("scratch_errors"),
+        some(scratch & ok, "num_notes").alias("scratch_total_notes"),
+        some(scratch & ok, "num_tracks").alias("scratch_total_tracks"),
+        F.min(F.when(add, ok)).alias("_add"),
+        some(add & ok, "num_notes").alias("_notes"),
+        some(add & ok, "num_tracks").alias("_tracks"),
+    )
+    n, good = F.col("scratch_success") + F.col("scratch_errors"), F.col("scratch_success")
+    return out.select(
+        "*",
+        F.when(n > 0, F.col("scratch_errors") / n).alias("scratch_error_rate"),
+        F.when(good > 0, F.col("scratch_total_notes") / good).alias("scratch_avg_notes_per_sample"),
+        F.when(good > 0, F.col("scratch_total_tracks") / good).alias("scratch_avg_tracks_per_sample"),
+        F.col("_add").cast("int").alias("add_track_success"),
+        F.when(F.col("_add").isNotNull(), F.col("_notes")).alias("add_track_total_notes"),
+        F.when(F.col("_add").isNotNull(), F.col("_tracks")).alias("add_track_total_tracks"),
+    ).drop("_add", "_notes", "_tracks")
+
+
+def run_counters(records: DataFrame) -> DataFrame:
+    """Counters of a run from its records (skipped, n_train, n_val, flush): one row."""
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return records.agg(F.count("*").alias("processed"), whole("skipped").alias("skipped"), whole("n_train").alias("num_train"), whole("n_val").alias("num_val"), F.countDistinct("flush").alias("flushes"))
+
+
 def payload_hash(payload: dict) -> str:
     """SHA-256 of canonical JSON (sorted keys)."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()

@@ -32,6 +32,15 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def signatures(df: DataFrame, payload: list[str], keys: tuple[str, ...] = KEYS, rounded: tuple[str, ...] = ("qpm",)) -> DataFrame:
+    """The first event of each (key, time, payload); payload columns in ``rounded`` are
+    compared to six places."""
+    held = {c: f"_sig{k}" for k, c in enumerate(payload)}
+    for c, h in held.items():
+        df = df.withColumn(h, F.round(c, 6) if c in rounded else F.col(c))
+    return keep_first(df, [*keys, "time", *held.values()], ["seq"]).drop(*held.values())
+
+
 def points(events: DataFrame, windows: DataFrame, payload: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Point events inside [s, e), shifted, without repeated signatures."""
     j = events.join(bounded(windows), "score_id").where("time >= s and time < e").withColumn("time", F.col("time") - F.col("s"))
@@ -47,7 +56,8 @@ def last_at(events: DataFrame, ticks: DataFrame, payload: list[str], keys: list[
 
 
 def carry_in(events: DataFrame, windows: DataFrame, payload: list[str], keys: list[str]) -> DataFrame:
-    """State that holds at the window's start, at time 0, then changes strictly inside."""
+    """State that holds at the window's start, at time 0, then changes strictly inside.  With
+    ``keys`` score_id alone this is the form without a default (key signatures)."""
     w = bounded(windows)
     held = last_at(events, w, payload, keys).select(*keys, F.lit(0).cast("long").alias("time"), *payload)
     inside = events.join(w, "score_id").where("time > s and time < e").select(*keys, (F.col("time") - F.col("s")).alias("time"), *payload)
@@ -115,6 +125,20 @@ def split_track(events: DataFrame, track: str) -> tuple[DataFrame, DataFrame]:
     return events.where(F.col("track") != track), events.where(F.col("track") == track)
 
 
+def split_at(tracks: DataFrame, picks: DataFrame) -> DataFrame:
+    """Role of every track (score_id, track_idx): ``target`` where picks (score_id, index)
+    name it, else ``context``.  An index outside a score's tracks raises an error."""
+    n = tracks.groupBy("score_id").agg(F.count("*").alias("_n"))
+    wrong = (F.col("index") < 0) | (F.col("index") >= F.col("_n"))
+    sound = n.join(picks, "score_id").withColumn("index", F.when(wrong, F.raise_error(F.concat(F.lit("no track "), F.col("index").cast("string")))).otherwise(F.col("index")))
+    return tracks.join(sound.drop("_n"), "score_id").withColumn("role", F.when(F.col("track_idx") == F.col("index"), "target").otherwise("context")).drop("index")
+
+
+def ordered(events: DataFrame, *keys: str) -> DataFrame:
+    """Events sorted by key, time and list place."""
+    return events.orderBy(*(keys or KEYS), "time", "seq")
+
+
 def without_number(controls: DataFrame, number: int) -> DataFrame:
     """Stored controls of one number dropped."""
     return controls.where(F.col("number") != number)

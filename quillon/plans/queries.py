@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import arrays, text
+from quillon.functions import arrays, instruments, text
 from quillon.operators import excerpts, sequences, statistics, timeline, vocab
+from quillon.sources import prepared
 from quillon.sources.adapters import coarse, logits, notes, read, vocabulary, windows
 from quillon.sources.adapters import timeline as events
 
@@ -192,9 +193,21 @@ def pedal_reemission(spark, sf_dir):
     return timeline.pedal_controls(timeline.sustain_pairs(coarse(events(spark, sf_dir)).where("number = 0")))
 
 
-@query(f"with {TL} select score_id, track, count(*) as n, bool_or(track = 'view') as any_view, count(distinct number) as numbers from ev group by all")
+KIND_OF = ("notes", "controls", "pedals", "pitch_bends", "lyrics", "markers", "tempos", "time_signatures", "key_signatures", "other")
+
+
+@query(f"""with {TL}, k as (select score_id, track, (seq * 7 + number) % 10 as k from ev where score_id % 9 <> 0) select s.score_id, count(distinct track) as tracks, {", ".join(f"count(*) filter (k = {i}) as {n}" for i, n in enumerate(KIND_OF[:-1]))} from (select distinct score_id from ev) s left join k using (score_id) group by s.score_id""")
 def event_counts(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("score_id", "track").agg(F.count("*").alias("n"), F.bool_or(F.col("track") == "view").alias("any_view"), F.countDistinct("number").alias("numbers"))
+    ev = events(spark, sf_dir)
+    some = ev.where("score_id % 9 <> 0")
+    kind = F.element_at(F.array(*map(F.lit, KIND_OF)), ((F.col("seq") * 7 + F.col("number")) % 10 + 1).cast("int"))
+    return statistics.event_counts(ev.select("score_id").distinct(), some.select("score_id", "track").distinct(), some.select("score_id", kind.alias("kind")))
+
+
+@query(f"with {TL} select score_id, bool_or(number = 1 and value > 120) as has_pedals, bool_or(number = 2 and value < 2) as has_bends from ev group by score_id")
+def any_pedals_bends(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return statistics.has_any(ev.select("score_id").distinct(), ev.where("number = 1 and value > 120"), ev.where("number = 2 and value < 2"))
 
 
 @query(f"with {TL} select score_id, greatest(1, max(time + dur)) as end_tick from ev group by score_id")
@@ -217,7 +230,7 @@ def anchor_ticks(spark, sf_dir):
 
 @query(f"with {TL} select score_id, array_to_string(list_sort(list(distinct number)), ',') as numbers from ev group by score_id")
 def control_numbers(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("score_id").agg(F.array_join(F.sort_array(F.collect_set("number")), ",").alias("numbers"))
+    return statistics.control_numbers(events(spark, sf_dir)).withColumn("numbers", F.array_join("numbers", ","))
 
 
 @query("""with f as (select conv_id, role, min(turn) as o from conversations where length(role) > 0 group by all), r as (select *, row_number() over (partition by conv_id order by o) k from f) select conv_id, string_agg(role, '|' order by o) as texts from r where k <= 2 group by conv_id""")
@@ -228,19 +241,39 @@ def first_distinct_texts(spark, sf_dir):
 # ---- text ---------------------------------------------------------------------------------
 
 
-@query("""select p_partkey, coalesce(nullif(trim(case when p_partkey % 5 = 0 then ' ' else p_name end), ''), case when p_partkey % 2 = 0 then 'drums' end, 'program_' || (p_size % 128)) as label,
- coalesce(nullif(trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'track') as slug from part""")
+NAME_ROWS = "gm as (select program - 1 as program, name from (select unnest(range(1, 129)) as program, unnest([" + ", ".join(f"'{n}'" for n in instruments.NAMES) + "]) as name))"
+
+
+@query(f"""with {NAME_ROWS} select p_partkey, coalesce(nullif(trim(case when p_partkey % 5 <> 0 then ' ' else p_name end), ''), case when p_partkey % 2 = 0 then 'drums' end, name, 'program_' || (p_partkey % 140)) as label,
+ coalesce(nullif(trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'track') as slug from part left join gm on program = p_partkey % 140""")
 def instrument_label(spark, sf_dir):
-    name = F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.col("p_name"))
-    label = text.instrument_label(name, F.col("p_partkey") % 2 == 0, F.lit(None).cast("string"), F.col("p_size") % 128)
+    name = F.when(F.col("p_partkey") % 5 != 0, " ").otherwise(F.col("p_name"))
+    program = F.col("p_partkey") % 140
+    label = text.instrument_label(name, F.col("p_partkey") % 2 == 0, instruments.gm_name(program), program)
     return read(spark, sf_dir, "part").select("p_partkey", label.alias("label"), text.slug(F.concat_ws(" ", "p_brand", "p_name"), F.lit("track")).alias("slug"))
 
 
-@query("""select p.p_partkey, n.n_nationkey as program, p.p_size = 1 as is_drum from part p left join nation n on lower(n.n_name) = lower(trim(' NATION_' || (p.p_size % 30)))""")
+@query(f"""with {NAME_ROWS}, p as (select p_partkey, case p_partkey % 4 when 0 then ' Drums ' when 1 then '  ' when 2 then 'kazoo' else ' ' || upper(name) || ' ' end as slug from part left join gm on program = p_partkey % 128)
+select p_partkey, case when lower(trim(slug)) = 'drums' then 0 else program end as program, case when lower(trim(slug)) = 'drums' then true when program is not null then false end as is_drum, case when lower(trim(slug)) = 'drums' then 'drums' else name end as name from p left join gm on name = lower(trim(slug))""")
 def resolve_slug(spark, sf_dir):
-    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("program"), F.lower("n_name").alias("name"))
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.lower(F.trim(F.concat(F.lit(" NATION_"), (F.col("p_size") % 30).cast("string")))).alias("name"))
-    return p.join(F.broadcast(names), "name", "left").select("p_partkey", "program", (F.col("p_size") == 1).alias("is_drum"))
+    name = F.upper(instruments.gm_name(F.col("p_partkey") % 128))
+    k = F.col("p_partkey") % 4
+    slug = F.when(k == 0, " Drums ").when(k == 1, "  ").when(k == 2, "kazoo").otherwise(F.concat(F.lit(" "), name, F.lit(" ")))
+    return read(spark, sf_dir, "part").select("p_partkey", instruments.resolve(slug).alias("r")).select("p_partkey", "r.*")
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then 'add track: ' || p_brand else 'add track: ' || p_brand || ' | ' || p_name end as prompt from part""")
+def add_track_prompt(spark, sf_dir):
+    extra = F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("\n")))
+    return read(spark, sf_dir, "part").select("p_partkey", text.add_track_prompt(F.concat(F.lit(" "), "p_brand"), extra).alias("prompt"))
+
+
+@query("select doc_id, md5(text) as digest, length(text) as n from documents")
+def byte_decode(spark, sf_dir):
+    """Bytes between two that are part of no character come back as the text."""
+    ids = F.concat(F.array(F.lit(400)), text.byte_tokens(F.col("text")), F.array(F.lit(0xE2)))
+    back = text.byte_text(ids)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(back.cast("binary")).alias("digest"), F.length(back).cast("long").alias("n"))
 
 
 @query(f"""with {TL}, g as (select score_id, list_sort(list(distinct value % 9)) as nums, bool_or(track = 'error') as lyr, bool_or(value > 120) as ped, bool_or(value < 2) as ben, string_agg(distinct track, ', ' order by track) as mk from ev group by score_id)
@@ -468,7 +501,7 @@ def histogram64(spark, sf_dir):
 
 @query("select round(sqrt(sum(l_quantity * l_quantity)), 6) as norm, count(*) as n from lineitem")
 def param_norm(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").agg(F.round(F.sqrt(F.sum(F.col("l_quantity") * F.col("l_quantity"))), 6).alias("norm"), F.count("*").alias("n"))
+    return statistics.parameter_norm(read(spark, sf_dir, "lineitem"), "l_quantity").withColumn("norm", F.round("norm", 6))
 
 
 @query("""select step, round(case when step < 100 then 3e-4 * step / 100.0 else 3e-4 * (0.1 + 0.45 * (1 + cos(pi() * (step - 100) / 900.0))) end, 12) as lr, round(6.0 * 1e8 * 4096 * step / (step + 1) / 312e12, 12) as mfu from range(0, 1001) r(step)""")
@@ -477,6 +510,78 @@ def lr_schedule(spark, sf_dir):
     return spark.range(1001).select(step.alias("step"), F.round(arrays.learning_rate(step, 3e-4, 100, 1000, 0.1), 12).alias("lr"), F.round(arrays.utilization(F.lit(1e8), step * 4096, step + 1), 12).alias("mfu"))
 
 
+@query(f"""with {LOGITS}, p as (select row_id, token_id, logit from lg where row_id % 5 < 2) select row_id, arg_max(token_id, (logit, -token_id)) as token_id from p group by row_id""")
+def argmax_fallback(spark, sf_dir):
+    p = F.when(F.col("row_id") % 5 == 0, F.lit(float("nan"))).when(F.col("row_id") % 5 == 1, 0.0).otherwise(0.1)
+    return arrays.most_likely(logits(spark, sf_dir).withColumn("p", p))
+
+
+# ---- runs, splits and tracks -------------------------------------------------------------
+
+
+@query("""select conv_id % 50 as epoch, count(*) filter (role = 'user' and turn % 3 <> 0) as scratch_success, count(*) filter (role = 'user' and turn % 3 = 0) as scratch_errors,
+ coalesce(sum(length(text)) filter (role = 'user' and turn % 3 <> 0), 0)::bigint as scratch_total_notes, coalesce(sum(turn) filter (role = 'user' and turn % 3 <> 0), 0)::bigint as scratch_total_tracks,
+ count(*) filter (role = 'user' and turn % 3 = 0) / nullif(count(*) filter (role = 'user'), 0) as scratch_error_rate, avg(length(text)) filter (role = 'user' and turn % 3 <> 0) as scratch_avg_notes_per_sample, avg(turn) filter (role = 'user' and turn % 3 <> 0) as scratch_avg_tracks_per_sample,
+ min(cast(turn % 3 <> 0 as int)) filter (role <> 'user') as add_track_success, case when count(*) filter (role <> 'user') > 0 then coalesce(sum(length(text)) filter (role <> 'user' and turn % 3 <> 0), 0)::bigint end as add_track_total_notes,
+ case when count(*) filter (role <> 'user') > 0 then coalesce(sum(turn) filter (role <> 'user' and turn % 3 <> 0), 0)::bigint end as add_track_total_tracks from conversations group by 1""")
+def epoch_summary(spark, sf_dir):
+    items = read(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") % 50).alias("epoch"), F.when(F.col("role") == "user", "scratch").otherwise("add_track").alias("mode"), F.when(F.col("turn") % 3 == 0, "ValueError: x").alias("error"), F.length("text").alias("num_notes"), F.col("turn").alias("num_tracks")
+    )
+    return statistics.epoch_summary(items)
+
+
+@query("""select count(*) as processed, sum(doc_id % 2)::bigint as skipped, sum(n_chars % 5)::bigint as num_train, count(*) filter (doc_id % 7 = 0) as num_val, count(distinct doc_id // 100) as flushes from documents""")
+def run_counters(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return statistics.run_counters(docs.select((F.col("doc_id") % 2).alias("skipped"), (F.col("n_chars") % 5).alias("n_train"), (F.col("doc_id") % 7 == 0).cast("int").alias("n_val"), F.expr("doc_id div 100").alias("flush")))
+
+
+@query("""with r as (select doc_id, row_number() over (order by md5('42:3:' || doc_id || ':scratch')) - 1 as place, count(*) over () as n from documents) select doc_id, case when place < floor(n * 0.95) then 'train' else 'val' end as split from r""")
+def flush_split(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), F.lit("scratch").alias("mode"))
+    return prepared.split_flush(docs, 0.95, 42, 3).select(F.col("record_index").alias("doc_id"), "split")
+
+
+@query("""with s as (select ps_region as split, key as shard from (select n_regionkey as ps_region, n_nationkey as key from nation)), o as (select split, shard, row_number() over (partition by split order by md5('45:' || shard), shard) - 1 as place from s) select split, shard, place, place % 2 as worker from o""")
+def shard_order(spark, sf_dir):
+    shards = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("split"), F.col("n_nationkey").alias("shard"))
+    return sequences.shard_order(shards, "split", "shard", 42, 3, 2)
+
+
+@query(f"""with {TL}, t as (select distinct score_id, track from ev), i as (select score_id, track, row_number() over (partition by score_id order by track) - 1 as track_idx, count(*) over (partition by score_id) as n from t) select score_id, track_idx, case when track_idx = score_id % n then 'target' else 'context' end as role from i""")
+def track_roles(spark, sf_dir):
+    t = events(spark, sf_dir).select("score_id", "track").distinct()
+    t = t.withColumn("track_idx", F.row_number().over(Window.partitionBy("score_id").orderBy("track")) - 1)
+    picks = t.groupBy("score_id").agg((F.col("score_id") % F.count("*")).alias("index"))
+    return timeline.split_at(t, picks).select("score_id", "track_idx", "role")
+
+
+@query(f"""with {TL}, k as (select score_id, seq, time, value % 12 as key, number % 2 as tonality from co where track = 'error'), held as (select score_id, 0 as time, key, tonality from (select k.*, row_number() over (partition by score_id order by time desc, seq desc) r from k join cw using (score_id) where time <= s) where r = 1)
+select * from held union select score_id, time - s, key, tonality from k join cw using (score_id) where time > s and time < e""")
+def key_signature_window(spark, sf_dir):
+    ev = coarse(events(spark, sf_dir))
+    keys = ev.where("track = 'error'").select("score_id", "seq", "time", F.expr("value % 12").alias("key"), F.expr("number % 2").alias("tonality"))
+    return timeline.carry_in(keys, coarse_windows(ev), ["key", "tonality"], ["score_id"])
+
+
+@query(f"""with {TL}, q as (select *, 120 + value % 3 + seq % 2 * 1e-8 as qpm from co) select score_id, track, time, seq from (select *, row_number() over (partition by score_id, track, time, round(qpm, 6) order by seq) r from q) where r = 1""")
+def tempo_dedup(spark, sf_dir):
+    ev = coarse(events(spark, sf_dir)).withColumn("qpm", F.expr("cast(120 + value % 3 + seq % 2 * 1e-8 as double)"))
+    return timeline.signatures(ev, ["qpm"]).select("score_id", "track", "time", "seq")
+
+
+@query("""with recursive d as (select doc_id, source, least(n_chars, 3000) as n, row_number() over (partition by source order by doc_id) as k from documents),
+ f as (select source, doc_id, k, n, 0 as pack, n as used from d where k = 1 union all select d.source, d.doc_id, d.k, d.n, case when f.used + d.n <= 2048 then f.pack else f.pack + 1 end, case when f.used + d.n <= 2048 then f.used + d.n else d.n end from f join d on d.source = f.source and d.k = f.k + 1)
+select source, pack, arg_min(case when doc_id % 3 = 0 then 'add_track' else 'scratch' end, doc_id) as mode, sum(n)::bigint as n, sum(n * (doc_id % 1000))::bigint as total, min(doc_id) % 1000 as first_id, max(doc_id) % 1000 as last_id from f group by source, pack""")
+def packed_samples(spark, sf_dir):
+    ids = F.array_repeat((F.col("doc_id") % 1000).cast("int"), F.least("n_chars", F.lit(3000)).cast("int"))
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, "add_track").otherwise("scratch").alias("mode"), ids.alias("input_ids"), ids.alias("labels"))
+    out = sequences.packed_samples(docs, "source", ["doc_id"], 2048)
+    long = F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("source", "pack", "mode", F.size("input_ids").cast("long").alias("n"), long.alias("total"), F.element_at("input_ids", 1).cast("long").alias("first_id"), F.element_at("input_ids", -1).cast("long").alias("last_id"))
+
+
 # ---- iterative operators: no SQL; tested against folds ---------------------------------------
 
 

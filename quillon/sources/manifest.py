@@ -7,6 +7,7 @@ decoded from a bounded buffer.  Malformed files raise an error.
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillon.operators.excerpts import ranked
+
 CHUNK = 1 << 20
 
 
@@ -74,6 +77,16 @@ def json_values(read, chunk: int = CHUNK) -> Iterator[dict]:
         yield value
 
 
+def opened(path: str):
+    """A text file by path or address (any scheme that pyarrow's file systems know)."""
+    if "://" not in path:
+        return open(path, encoding="utf-8")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return io.TextIOWrapper(system.open_input_stream(inner), encoding="utf-8")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -83,7 +96,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         path = partition.value
-        with open(path, encoding="utf-8") as f:
+        with opened(path) as f:
             for k, item in enumerate(json_values(f.read)):
                 yield path, k, json.dumps(item, ensure_ascii=False)
 
@@ -99,7 +112,7 @@ class ManifestDataSource(DataSource):
         return "manifest_path string, line long, item string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(expand(self.options["path"]))
+        return _Reader(json.loads(self.options["paths"]) if "paths" in self.options else expand(self.options["path"]))
 
 
 def expand(*inputs: str) -> list[str]:
@@ -119,18 +132,43 @@ def expand(*inputs: str) -> list[str]:
 
 
 def read_manifest(spark: SparkSession, *inputs: str) -> DataFrame:
-    """manifest_path, line, item for all files; blank lines of .jsonl are skipped."""
-    spark.dataSource.register(ManifestDataSource)
+    """manifest_path, place, item for all files; blank lines of .jsonl are skipped.  One scan
+    for all files of a kind.  ``place`` (block, row) grows within a file but has gaps;
+    :func:`indexed` numbers the records."""
+    paths = expand(*inputs)
+    lines = [p for p in paths if p.lower().endswith(".jsonl")]
+    others = [p for p in paths if not p.lower().endswith(".jsonl")]
     out = None
-    for p in expand(*inputs):
-        if p.lower().endswith(".jsonl"):
-            rows = spark.read.text(p).where("trim(value) <> ''").select(F.lit(p).alias("manifest_path"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("item"))
-        else:
-            rows = spark.read.format("manifest").load(p)
+    if lines:
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        by_name = F.create_map(*[F.lit(x) for p in lines for x in (_name(p), p)])
+        name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+        rows = spark.read.text(lines).select(F.element_at(by_name, F.url_decode(F.regexp_replace(name, "[+]", "%2B"))).alias("manifest_path"), place.alias("place"), F.col("value").alias("item"))
+        out = rows.where("trim(item) <> ''")
+    if others:
+        spark.dataSource.register(ManifestDataSource)
+        rows = spark.read.format("manifest").option("paths", json.dumps(others)).load()
+        rows = rows.select("manifest_path", F.struct(F.lit(0).cast("long").alias("block"), F.col("line").alias("row")).alias("place"), "item")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _name(path: str) -> str:
+    return path if "://" in path else os.path.abspath(path)
+
+
+def indexed(spark: SparkSession, *inputs: str, most: int = 0) -> DataFrame:
+    """``read_manifest`` with record_index: from 0 over all files in their order, without
+    gaps; only the first ``most`` records (0: all).  Records are numbered block by block
+    after the blocks have been counted, so a task sorts one block."""
+    paths = expand(*inputs)
+    order = spark.createDataFrame(list(enumerate(paths)), "file long, manifest_path string")
+    rows = read_manifest(spark, *inputs).join(F.broadcast(order), "manifest_path")
+    placed = ranked(rows, F.struct("file", "place.block"), [F.col("place.row")]).withColumnRenamed("place", "record_index")
+    placed = placed.select("record_index", "manifest_path", "item")
+    return placed.where(F.col("record_index") < most) if most else placed
+
+
 def resolve(records: DataFrame, root: str | None = None) -> DataFrame:
     """caption, midi_path or an error for each record (record_index, item, manifest_path).
     ``midi_path`` wins over ``location`` even if blank; a JSON null counts as missing."""
