@@ -10,14 +10,23 @@ to code point offsets.
 Its encoding is the smallest alphabet that holds it.  Under the hypothesis that it is
 random over that alphabet three statistics are taken: chi-squared uniformity (with the
 exact mean and variance of few draws from many symbols), runs above and below the middle
-of the alphabet, and lag-one serial correlation.  Bonferroni's combination gives one
-p-value.
+of the alphabet, and lag-one serial correlation.  Sidak's combination of the three gives
+one p-value, about uniform from 0 to 1 if the candidate is random.
 
-*False discovery control.*  Short candidates have weak tests and would drown long ones,
-so for each encoding and length class the Benjamini-Hochberg rule at ``FDR`` tells which
-candidates are ordinary text; the thresholds come from counts of p-values by bin, a table
-bounded by the number of classes.  Candidates that the rule does not reject are spans of
-kind ``random`` unless they overlap a pattern's span.
+*False discovery control.*  What is controlled is the share of ordinary text among the
+candidates that are reported.  The p-values of random candidates are uniform; those of
+ordinary text of ``MIN_LENGTH`` characters or more lie near 0.  So for each encoding and
+length class (short candidates have weak tests and must not set the limit of long ones) the
+number of random candidates is estimated: for each bound b up to ``_SURE`` bins (p of 0.78
+down to 0.05) those with p over b, with two standard deviations more for all but the last
+bound, are 1 - b of them; the least of these numbers holds, as only ordinary text can make
+an estimate too large.  The limit is the least p for which
+
+    1 - (random candidates expected above the limit) / (candidates above the limit) <= FDR.
+
+The limits come from counts of p-values by bin, a table bounded by the number of classes.
+Candidates above the limit are spans of kind ``random`` unless they overlap a pattern's
+span.
 
 Null texts are empty.  Rows are independent but for the thresholds: repeated rows each
 have their result and each count as a candidate.  An empty table gives an empty result.
@@ -53,6 +62,7 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "^.+$"),
 )
 _P_BINS = 4  # bins of ln p
+_SURE = 12  # bins that tell how many candidates are random: p over exp(-3)
 
 
 def _places(text: Column, pattern: str, found: Column) -> Column:
@@ -116,7 +126,7 @@ def p_value(enc: Column) -> Column:
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
     chi = k / n * squares - n
     z1 = (chi - (k - 1)) / F.sqrt(F.lit(2.0) * (k - 1) * (n - 1) / n)
-    uneven = F.when(z1 > 0, _two_sided(z1) / 2).otherwise(F.lit(0.5))
+    uneven = F.when(z1 > 0, _two_sided(z1) / 2).otherwise(F.lit(1.0) - _two_sided(z1) / 2)
     side = F.transform(v, lambda x: F.when(x * 2 < enc["k"], 0).otherwise(1))
     ones = F.aggregate(side, F.lit(0), lambda a, x: a + x).cast("double")
     zeros = n - ones
@@ -131,7 +141,8 @@ def p_value(enc: Column) -> Column:
     pair = F.zip_with(F.slice(dev, F.lit(1), F.size(dev) - 1), F.slice(dev, F.lit(2), F.size(dev) - 1), lambda a, b: a * b)
     lag = F.aggregate(pair, F.lit(0.0), lambda a, x: a + x)
     serial = F.when(spread > 0, _two_sided((lag / F.greatest(spread, F.lit(1e-12)) + F.lit(1.0) / n) * F.sqrt(n))).otherwise(F.lit(1e-12))
-    return F.least(F.lit(1.0), F.least(uneven, run, serial) * 3)
+    least = F.least(uneven, run, serial)
+    return F.greatest(F.lit(1e-300), F.when(least < 1, -F.expm1(F.log1p(-least) * 3)).otherwise(1.0))
 
 
 def candidates(text: Column) -> Column:
@@ -148,21 +159,30 @@ def candidates(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(CANDIDATE)), F.transform(zipped, one).cast(kind)).otherwise(F.array().cast(kind))
 
 
+def limits(counts: dict[int, int], fdr: float = FDR) -> int:
+    """The last bin of -ln p that is reported, for the counts by bin of one class; -1: none."""
+
+    def estimate(b: int) -> float:
+        over = sum(n for k, n in counts.items() if k < b)
+        return (over + (2 * math.sqrt(over + 1) if b < _SURE else 0)) / -math.expm1(-b / _P_BINS)
+
+    random = min(map(estimate, range(1, _SURE + 1)))
+    last, seen = -1, 0
+    for b in sorted({*counts, *range(_SURE)}):
+        seen += counts.get(b, 0)
+        if seen and 1 + random * math.expm1(-(b + 1) / _P_BINS) / seen <= fdr:
+            last = b
+    return last
+
+
 def thresholds(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """For each class the first bin of -ln p that the Benjamini-Hochberg rule rejects.
-    The counts have at most (encodings x length classes x bins) rows."""
+    """For each class the last bin of -ln p that is reported.  The counts have at most
+    (encodings x length classes x bins) rows."""
     bins = found.select(F.explode("cands").alias("c")).groupBy("c.cls", "c.pbin").count().collect()
     by: dict[int, dict[int, int]] = {}
     for r in bins:
         by.setdefault(r["cls"], {})[r["pbin"]] = r["count"]
-    out = {}
-    for cls, counts in by.items():
-        total, seen = sum(counts.values()), 0
-        for b in sorted(counts, reverse=True):
-            seen += counts[b]
-            if math.exp(-b / _P_BINS) <= seen * fdr / total:
-                out[cls] = b
-    return out
+    return {cls: limits(counts, fdr) for cls, counts in by.items()}
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -171,15 +191,15 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[pattern_spans(text, k) for k in range(len(PATTERNS))])
     found = common.materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), base.alias("_base"), candidates(text).alias("cands")), "secrets")
-    first = thresholds(found)
+    last = thresholds(found)
     random = len(PATTERNS)
-    if first:
-        limit = F.create_map(*[F.lit(z) for pair in first.items() for z in pair])
-        ordinary = lambda c: F.coalesce(c["pbin"] >= F.try_element_at(limit, c["cls"]), F.lit(False))
+    if last:
+        limit = F.create_map(*[F.lit(z) for pair in last.items() for z in pair])
+        high = lambda c: c["pbin"] <= F.try_element_at(limit, c["cls"])
     else:
-        ordinary = lambda c: F.lit(False)
+        high = lambda c: F.lit(False)
     free = lambda c: ~F.exists("_base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
-    more = F.transform(F.filter("cands", lambda c: ~ordinary(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(random).alias("kind"), c["stop"].alias("stop"))).cast(_SPAN)
+    more = F.transform(F.filter("cands", lambda c: high(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(random).alias("kind"), c["stop"].alias("stop"))).cast(_SPAN)
     return found.select("keep.*", F.sort_array(F.concat("_base", more)).alias("spans"))
 
 

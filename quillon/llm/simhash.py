@@ -107,18 +107,26 @@ def cells(fps: np.ndarray, radius: int, groups: int, segments: int = SEGMENTS) -
     return np.stack(out, axis=1)
 
 
-def _near(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, radius: int) -> np.ndarray:
-    """Manhattan distance of the embeddings first, the Hamming distance decides."""
-    ok = np.abs(ca.astype(np.int8) - cb.astype(np.int8)).sum(axis=-1) <= radius
-    if ok.any():
-        hit = np.flatnonzero(ok)
-        ok[hit] = np.bitwise_count((a[hit] if a.shape == ok.shape else a) ^ b[hit]) <= radius
+def unary(fps: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    """The embedding with each segment's count as that many ones: the Manhattan distance of
+    two embeddings is the number of bits in which these differ."""
+    width = 64 // segments
+    ones = np.arange(width) < popcounts(fps, segments)[:, :, None]
+    return np.packbits(ones.reshape(len(fps), 64), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _near(a, b: np.ndarray, ua, ub: np.ndarray, radius: int) -> np.ndarray:
+    """Manhattan distance of the embeddings first; of pairs within it the Hamming distance
+    decides."""
+    ok = np.bitwise_count(ua ^ ub) <= radius
+    hit = np.flatnonzero(ok)
+    ok[hit] = np.bitwise_count((a[hit] if np.ndim(a) else a) ^ b[hit]) <= radius
     return ok
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning forest of the links among distinct fingerprints: pairs of positions."""
-    counts = popcounts(fps)
+    counts = unary(fps)
     rest = np.arange(len(fps))
     out = []
     while len(rest):
@@ -144,6 +152,7 @@ def _links(cell: np.ndarray, fps: np.ndarray, radius: int, small: int = 12) -> n
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, dtype=int)
     sizes = np.diff(np.append(starts, len(cell)))
     out = []
+    counts = unary(fps)
     few = np.repeat((sizes > 1) & (sizes <= small), sizes)
     at = np.flatnonzero(few)
     for d in range(1, small):
@@ -154,8 +163,7 @@ def _links(cell: np.ndarray, fps: np.ndarray, radius: int, small: int = 12) -> n
         for lo in range(0, len(at), 1 << 18):
             i = at[lo : lo + (1 << 18)]
             a, b = fps[i], fps[i + d]
-            ok = np.bitwise_count(a ^ b) <= radius
-            ok[ok] &= np.abs(popcounts(a[ok]).astype(np.int8) - popcounts(b[ok]).astype(np.int8)).sum(axis=1) <= radius
+            ok = _near(a, b, counts[i], counts[i + d], radius)
             out.append(np.stack([a[ok], b[ok]], axis=1))
     for k in np.flatnonzero(sizes > small):
         part = fps[starts[k] : starts[k] + sizes[k]]

@@ -83,3 +83,13 @@ def test_documents(spark):
     got = simhash.simhash_components(docs, shingle=4, radius=4)
     assert sorted((r.doc_id or -1, r.component_id) for r in got.collect()) == [(-1, 3), (2, 2), (3, 3), (5, 3), (7, 7), (8, 2), (9, 3), (11, 2)]
     assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_unary_counts_the_manhattan_distance():
+    rnd = np.random.default_rng(2)
+    a, b = rnd.integers(0, 1 << 63, size=(2, 500), dtype=np.uint64)
+    for segments in (8, 32):
+        want = np.abs(simhash.popcounts(a, segments).astype(int) - simhash.popcounts(b, segments).astype(int)).sum(axis=1)
+        assert (np.bitwise_count(simhash.unary(a, segments) ^ simhash.unary(b, segments)) == want).all()
+        assert (want <= np.bitwise_count(a ^ b)).all()
+    assert len(simhash.unary(a[:0])) == 0
