@@ -45,7 +45,7 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \u0085 "
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 600_000
 _CACHE_CHARS = 64
 
 
