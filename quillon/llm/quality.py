@@ -8,13 +8,14 @@ lines and repeated three-word windows, and a vector of transformed statistics
 windows found twice or more: the document fails.
 
 *Minimum covariance determinant.*  For each language and source, location and scatter
-are those of the half-and-a-bit (``SUPPORT``) of its documents whose scatter has the
-least determinant.  Two starts (quartiles, and plain moments) are improved by
+are those of the share ``SUPPORT`` of its documents whose scatter has the least
+determinant.  Two starts (quartiles, and plain moments) are improved by
 concentration steps; the one with the smaller determinant goes on.  All groups step
 together: documents meet the estimates of their group, and counts, sums and products
-are added up by group and bin of log distance, within a task first.  The bins up to the
-support's quantile give the next estimate exactly, so a group with a third of all rows
-costs no more than its share.  The scatter is scaled so that the median distance is that
+are added up by group and bin of log distance, within a task first.  Of the bin that holds
+the support's last document the missing share is taken, so the support has its size but the
+order within that bin does not count; a group with a third of all rows costs no more than
+its share.  The scatter is scaled so that the median distance is that
 of the chi-squared law, and a document is kept if its squared Mahalanobis distance is at
 most the cutoff.
 
@@ -189,6 +190,14 @@ def distance(prefix: str = ""):
     return F.greatest(total, F.lit(0.0))
 
 
+def _support(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The fit of the h nearest rows from counts, sums and products of bins in ascending
+    distance: whole bins, and of the bin that holds the h-th row the share that is missing."""
+    h = math.ceil(SUPPORT * int(n.sum()))
+    share = np.clip((h - (n.cumsum() - n)) / n, 0.0, 1.0)
+    return _fit(float(h), share @ s, share @ q)
+
+
 def _concentrate(stats: DataFrame, fits: DataFrame, choose: bool, median: float) -> DataFrame:
     """One step of all groups: the moments of the support nearest to the last estimate.
     ``choose`` keeps only the start with the least determinant."""
@@ -201,9 +210,7 @@ def _concentrate(stats: DataFrame, fits: DataFrame, choose: bool, median: float)
             g = g.sort_values("bin")
             n = g["n"].cumsum().to_numpy()
             total = int(n[-1])
-            k = int(np.searchsorted(n, math.ceil(SUPPORT * total)))
-            part = g.iloc[: k + 1]
-            fit = _fit(float(n[k]), part[_X].sum().to_numpy(), part[[f"q{i}{j}" for i, j in _PAIRS]].sum().to_numpy())
+            fit = _support(g["n"].to_numpy(), g[_X].to_numpy(), g[[f"q{i}{j}" for i, j in _PAIRS]].to_numpy())
             mid = int(np.searchsorted(n, total / 2))
             scale = math.exp((float(g["bin"].iloc[mid]) + 0.5) / _BINS) / median
             row = _row(str(g["key"].iloc[0]), int(start), total, fit, scale)

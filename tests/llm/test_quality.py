@@ -59,3 +59,18 @@ def test_fit_matches_numpy():
     mean, inv, det = quality._fit(500, x.sum(axis=0), q)
     cov = np.cov(x.T, bias=True) + np.diag(quality.FLOOR**2)
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(np.linalg.inv(inv), cov) and np.isclose(det, np.linalg.slogdet(cov)[1])
+
+
+def test_support_takes_h_rows():
+    """Bins of one row each give the moments of the h nearest; wider bins share the last."""
+    x = np.random.default_rng(1).normal(size=(101, quality.P))
+    x = x[np.argsort((x**2).sum(axis=1))]
+    q = np.array([x[:, i] * x[:, j] for i, j in quality._PAIRS]).T
+    h = int(np.ceil(quality.SUPPORT * 101))
+    mean, inv, det = quality._support(np.ones(101), x, q)
+    want = np.cov(x[:h].T, bias=True) + np.diag(quality.FLOOR**2)
+    assert np.allclose(mean, x[:h].mean(axis=0)) and np.allclose(inv, np.linalg.inv(want)) and np.isclose(det, np.linalg.slogdet(want)[1])
+    at = np.array([0, 40, h - 6, h + 4])
+    n = np.diff(np.append(at, 101))
+    mean, _, _ = quality._support(n, np.add.reduceat(x, at), np.add.reduceat(q, at))
+    assert np.allclose(mean, (x[: h - 6].sum(axis=0) + 0.6 * x[h - 6 : h + 4].sum(axis=0)) / h)
