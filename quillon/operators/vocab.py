@@ -99,10 +99,14 @@ def extend(vocab: DataFrame, numbers: list[int], bins: int) -> DataFrame:
     return vocab.select("token_id", "piece").unionByName(more.select((F.col("top") + F.col("k")).alias("token_id"), "piece"))
 
 
-def control_events(controls: DataFrame, numbers: list[int], bins: int, quantize) -> DataFrame:
-    """Each allowed control as ControlChange then CCValue, with their order (sub)."""
+def control_events(controls: DataFrame, numbers: list[int], bins: int, quantize, program: str | None = None) -> DataFrame:
+    """Each allowed control as ControlChange then CCValue, with their order (sub); a column
+    ``program`` puts a Program token before them (-1 for drums)."""
     kept = controls.where(F.col("number").isin(numbers))
-    parts = F.array(F.struct(F.lit(0).alias("sub"), F.concat(F.lit("ControlChange_"), F.col("number").cast("string")).alias("token")), F.struct(F.lit(1).alias("sub"), F.concat(F.lit("CCValue_"), quantize(F.col("value"), bins).cast("string")).alias("token")))
+    tokens = [F.concat(F.lit("ControlChange_"), F.col("number").cast("string")), F.concat(F.lit("CCValue_"), quantize(F.col("value"), bins).cast("string"))]
+    if program:
+        tokens.insert(0, F.concat(F.lit("Program_"), F.col(program).cast("string")))
+    parts = F.array(*[F.struct(F.lit(k).alias("sub"), t.alias("token")) for k, t in enumerate(tokens)])
     return kept.select("score_id", "track", "time", "seq", F.explode(parts).alias("p")).select("score_id", "track", "time", "seq", "p.*")
 
 

@@ -437,6 +437,12 @@ def control_tokens(spark, sf_dir):
     return vocab.control_events(events(spark, sf_dir), [1, 3], 32, arrays.quantize).select("score_id", "seq", "sub", "token")
 
 
+@query(f"""with {TL} select score_id, seq, sub, case when sub = 0 then 'Program_' || (value % 4 - 1) when sub = 1 then 'ControlChange_' || number else 'CCValue_' || cast(least(31, greatest(0, round(value * 31 / 127.0))) as int) end as token from ev, (values (0), (1), (2)) s(sub) where number in (1, 3)""")
+def control_tokens_program(spark, sf_dir):
+    ev = events(spark, sf_dir).withColumn("program", F.expr("value % 4 - 1"))
+    return vocab.control_events(ev, [1, 3], 32, arrays.quantize, "program").select("score_id", "seq", "sub", "token")
+
+
 @query("""select conv_id, string_agg(piece, ' ' order by turn) as raw from (select conv_id, turn, p_name as piece from conversations join part on p_partkey = turn) group by conv_id""")
 def piece_lookup(spark, sf_dir):
     ids = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("ids"))
