@@ -500,6 +500,8 @@ def _remove(rows: pa.Table, gone: pa.Table) -> pa.Table:
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each distinct text of a task once; at the end the least id of its later copies."""
     seen: dict[tuple[int, int], list[int]] = {}
+    # one schema for all batches: fields of the input may be marked as never null
+    kind = pa.schema([("block", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary())])
     for batch in batches:
         h1, h2, ids, blocks = (batch.column(k).to_pylist() for k in (1, 2, 3, 0))
         keep = []
@@ -510,10 +512,10 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[key] = [i, i, blocks[k]]
                 keep.append(k)
         if keep:
-            yield batch.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.take(pa.array(keep)).columns, schema=kind)
     late = [(b, *key, low) for key, (first, low, b) in seen.items() if low < first]
     if late:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*late, strict=True)] + [pa.nulls(len(late), pa.binary())], names=["block", "h1", "h2", "doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*late, strict=True)] + [pa.nulls(len(late), pa.binary())], schema=kind)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

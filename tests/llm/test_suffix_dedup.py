@@ -65,6 +65,13 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+def test_later_copy_with_a_smaller_id_in_one_task(spark):
+    rows = list(reversed([(k, t) for k, (_, t) in enumerate(corpus(3)) if t]))
+    rows = [*rows, (1000, rows[0][1]), (-1, rows[5][1]), (-2, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, sd.dedup(docs).collect())) == sorted(brute(rows))
+
+
 def test_empty(spark):
     assert sd.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r)[:4] for r in sd.dedup(spark.createDataFrame([(1, "short")], "doc_id long, text string")).collect()] == [(1, 5, 0, 0)]
