@@ -7,7 +7,11 @@ Largest inner product is made largest cosine by dividing by the greatest norm an
 the coordinate that completes each stored vector to unit length (queries get zero there);
 where all norms are equal nothing is added.
 
-*Multiprobe.*  A query visits, in each table, the ``probes`` signed axes nearest to it.
+Norms are cut into ranges of ratio ``RANGE``; each range, however small, is hashed with a
+scale and buckets of its own.
+
+*Multiprobe.*  A query visits, in each range and table, the ``probes`` signed axes nearest
+to it among those that hold rows; so a range of few rows is seen whole.
 
 *Rerank.*  Every row is indexed.  Rows and probing queries of a bucket meet in one task,
 which computes inner products in double precision and keeps each query's best; the best
@@ -15,8 +19,10 @@ of all buckets are merged.  No list of candidate pairs is ever written.  Buckets
 ``block_rows`` are dealt into blocks that are searched separately, and a query visits all
 of them, so a bucket with a third of all rows is whole and still bounded in memory.
 
-The bucket counts (tables x 2 x dimension numbers for each hashed range) and the sizes of
-the ranges are the only data on the driver.
+A query left with fewer than ``k`` neighbours is then searched exactly.
+
+The bucket counts (tables x 2 x dimension numbers for each range) and the sizes of the
+ranges are the only data on the driver.
 
 Vectors that are null, zero, hold null or non-finite components, or are not of the
 table's commonest length take no part.  Rows without an id take no part.  Rows that share
@@ -36,7 +42,6 @@ from quillon.llm import common
 TABLES = 12
 PROBES = 12
 BLOCK_ROWS = 8192
-EXACT_ROWS = 8192
 RANGE = 1.25
 SEED = 20
 
@@ -98,9 +103,10 @@ def usable(vector: str, dim: Column | int | None = None) -> Column:
     return ok if dim is None else ok & (F.size(v) == dim)
 
 
-def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK_ROWS, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK_ROWS, exact_rows: int = 0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row where
-    ``is_query`` (a condition on ``id``), against every other row."""
+    ``is_query`` (a condition on ``id``), against every other row.  A caller may ask for ranges
+    of at most ``exact_rows`` rows to be searched exactly; at 0 all are hashed."""
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull()).where(usable("vector")).dropDuplicates()
     sizes = base.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 1
@@ -120,7 +126,7 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     asks = base.where(is_query).select("id", "vector")
     kind = "cell int, id long, vector array<double>"
 
-    def hashed(query: bool):
+    def hashed(query: bool, occupied: np.ndarray | None = None):
         def run(batches):
             for batch in batches:
                 x = _vectors(batch.column(1), dim)
@@ -136,9 +142,14 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
                     near = axes(x, t)
                     width = near.shape[1]
                     if query:
-                        n = min(probes, width)
-                        cell = np.argpartition(-near, n - 1, axis=1)[:, :n] + t * width
-                        cell = np.concatenate([cell + i * tables * width for i in range(len(hashed_parts))], axis=1)
+                        cell = []
+                        for i in range(len(hashed_parts)):
+                            begin = (i * tables + t) * width
+                            at = np.searchsorted(occupied, [begin, begin + width])
+                            held = occupied[at[0] : at[1]] - begin
+                            n = min(probes, len(held))
+                            cell.append(held[np.argpartition(-near[:, held], n - 1, axis=1)[:, :n]] + begin)
+                        cell = np.concatenate(cell, axis=1)
                     else:
                         cell = near.argmax(axis=1)[:, None] + t * width + np.array([place[p] for p in parts], dtype=np.int64).reshape(-1, 1) * tables * width
                     take = pa.array(np.repeat(np.arange(len(x)), cell.shape[1]))
@@ -178,7 +189,8 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
         return best(exact(base, asks, few))
     index = base.where(in_hashed).select("id", "vector", "part").mapInArrow(hashed(False), kind)
     counts = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}
-    found = dealt(index, asks.mapInArrow(hashed(True), kind), counts)
+    occupied = np.array(sorted(counts), dtype=np.int64)
+    found = dealt(index, asks.mapInArrow(hashed(True, occupied), kind), counts)
     if few:
         found = found.unionByName(exact(base.where(~in_hashed), asks, few))
     first = common.materialise(best(found), "polytope-best")

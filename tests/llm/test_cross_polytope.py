@@ -85,3 +85,34 @@ def test_queries_with_few_candidates_are_searched_exactly(spark):
         for rows in (8192, 0):
             got = run(spark, x[:n], ids[:n], exact_rows=rows, tables=1, probes=1)
             assert got == {q: brute(x[:n], ids[:n], q, 20) for q in range(0, n, 20)}
+
+
+def test_small_and_large_tables_take_the_same_path(spark):
+    rng = np.random.default_rng(4)
+    x = np.zeros((300, 32))
+    x[:, :16] = rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(300)
+    far = np.tile(np.eye(32)[20], (9000, 1))  # at right angles to all others
+    few = {"tables": 2, "probes": 6, "k": 5}
+    small = nearest_ids(spark, x, ids, **few)
+    large = nearest_ids(spark, np.concatenate([x, far]), np.concatenate([ids, 20 * np.arange(9000) + 1001]), **few)
+    assert small == {q: large[q] for q in small}
+    assert any(small[q] != [i for i, _ in brute(x, ids, q, 5)] for q in small)  # by hash, not by brute force
+
+
+def nearest_ids(spark, x, ids, **more):
+    rows = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(cross_polytope.nearest(rows, F.col("id") % 20 == 0, **more).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_recall_of_hashing_alone_on_a_small_table(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(500)
+    for y in (x, x * rng.lognormal(size=(500, 1))):
+        assert recall(run(spark, y, ids), y, ids) >= 0.9
