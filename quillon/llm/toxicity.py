@@ -87,10 +87,13 @@ def plain(text: str) -> str:
 
 def symbols(text: str) -> np.ndarray:
     """Symbols 0..SYMBOLS-1; the wall is the last."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
-    out = np.where((code >= 97) & (code <= 122), code - 97, _SPACE + 1 + code % (_WALL - _SPACE - 1))
-    out[code == 32] = _SPACE
-    out[code == 0] = _WALL
+    out = np.empty(len(text), dtype=np.int32)
+    for lo in range(0, len(text), _CHUNK):
+        code = np.frombuffer(text[lo : lo + _CHUNK].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
+        part = np.where((code >= 97) & (code <= 122), code - 97, _SPACE + 1 + code % (_WALL - _SPACE - 1))
+        part[code == 32] = _SPACE
+        part[code == 0] = _WALL
+        out[lo : lo + len(part)] = part
     return out
 
 
@@ -147,8 +150,8 @@ def gram(windows: list[str], landmarks: list[str]) -> np.ndarray:
     place[kinds] = np.arange(1, len(kinds) + 1)
     part = rows(windows)
     norm, out = norms(part), np.zeros((len(windows), len(landmarks)))
-    for lo in range(0, len(part), 200):
-        code, weight = _codes(part[lo : lo + 200])
+    for lo in range(0, len(part), 50):
+        code, weight = _codes(part[lo : lo + 50])
         at = np.where(weight > 0, place[code], 0)
         i, j = np.nonzero(at)
         if len(i):
@@ -273,14 +276,17 @@ class Model:
 def odds(flat: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """First table: log odds of subsequences by their weight in toxic and clean sentences."""
     sums = np.zeros((2, SYMBOLS**3))
-    head = flat.astype(np.int64) * SYMBOLS
     for a, b in _STEPS:
-        n = len(flat) - b
-        if n > 0:
-            code = (head[:n] + flat[a : a + n]) * SYMBOLS + flat[b : b + n]
-            ok = (flat[:n] != _WALL) & (flat[a : a + n] != _WALL) & (flat[b : b + n] != _WALL)
-            for y in (0, 1):
-                sums[y] += DECAY ** (b + 1) * np.bincount(code[ok & (toxic[:n] == y)], minlength=SYMBOLS**3)
+        counts = np.zeros((2, SYMBOLS**3), dtype=np.int64)
+        for lo in range(0, len(flat) - b, _CHUNK):
+            n = min(_CHUNK, len(flat) - b - lo)
+            x, y, z = (flat[lo + k : lo + k + n].astype(np.int64) for k in (0, a, b))
+            code = (x * SYMBOLS + y) * SYMBOLS + z
+            ok = (x != _WALL) & (y != _WALL) & (z != _WALL)
+            for label in (0, 1):
+                counts[label] += np.bincount(code[ok & (toxic[lo : lo + n] == label)], minlength=SYMBOLS**3)
+        for label in (0, 1):
+            sums[label] += DECAY ** (b + 1) * counts[label]
     share = sums.sum(axis=0) / max(sums.sum(), 1e-9)
     smooth = 200.0 * SYMBOLS * share + 1e-9
     rate = [(s + smooth) / max(s.sum() + smooth.sum(), 1e-9) for s in sums]

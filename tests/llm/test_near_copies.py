@@ -1,5 +1,6 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline as cp
 from quillon.llm import near_copies
@@ -43,6 +44,31 @@ def test_components_against_brute_force(spark):
     assert [least[got[i]] for i in range(len(texts))] == groups(texts)
 
 
+def test_cells_cut_into_blocks_lose_no_link(spark):
+    rnd = random.Random(7)
+    texts = [t for _ in range(8) for t in copies(rnd, 12, 120, 14)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.common.materialise(near_copies.sketches(docs), "sketches")
+    whole, cut = ({tuple(r) for r in near_copies.components(rows, docs, cell_hashes=n).collect()} for n in (10**6, 300))
+    assert whole == cut and whole
+
+
+def test_sets_of_single_texts_are_not_written(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    written, write = [], near_copies.common.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        written.append(sum(p.stat().st_size for p in Path(out._quillon_path.removeprefix("file://")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(near_copies.common, "materialise", noted)
+    assert near_copies.near_copies(docs).count() == 60
+    assert max(written) < 0.2 * sum(map(len, texts))
+
+
 def test_stage_drops_copies_from_similarity_08(spark):
     rnd = random.Random(6)
     rows = []

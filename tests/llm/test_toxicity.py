@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -117,3 +118,14 @@ def test_repeated_rows_leave_the_model_as_it_is(spark):
     once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     a, b = (toxicity.fit(d, labels, max_rows=40) for d in (once, once.unionByName(once).unionByName(once.where("doc_id % 2 = 1"))))
     assert np.allclose(a.table, b.table) and a.slope > 0
+
+
+def test_first_table_and_kernel_need_little_memory():
+    flat = np.random.default_rng(0).integers(0, 30, 4_000_000).astype(np.int32)
+    peaks = []
+    for step in (lambda: toxicity.odds(flat, (flat % 2).astype(np.int8)), lambda: toxicity.symbols("ab c" * 1_000_000), lambda: toxicity.gram(["some plain words of a text here"] * 200, ["other words of text"] * 256)):
+        tracemalloc.start()
+        step()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 50, peaks
