@@ -60,23 +60,32 @@ class Grams:
     def __init__(self, ids: np.ndarray, lens: np.ndarray, names: np.ndarray, order: int):
         self.ids, self.lens, self.names, self.order = ids, lens, names, order
         self.stop = np.cumsum(lens)
-        self.into = np.arange(len(ids)) - np.repeat(self.stop - lens, lens)
+        self.into = np.arange(len(ids), dtype=np.int32) - np.repeat((self.stop - lens).astype(np.int32), lens)
         width = len(names)
-        zero = np.zeros(width, dtype=np.int64)
-        self.history, self.last, self.suffix, self.hash, self.place = [zero], [np.arange(width)], [zero], [names], [ids.astype(np.int64)]
+        zero = np.zeros(width, dtype=np.int32)
+        self.history, self.last, self.suffix, self.hash, self.place = [zero], [np.arange(width, dtype=np.int32)], [zero], [names], [ids.astype(np.int32, copy=False)]
         with np.errstate(over="ignore"):
             for n in range(2, order + 1):
-                at = np.flatnonzero(self.into >= n - 1)
-                code = self.place[-1][at - 1] * width + ids[at]
-                kinds, first, number = np.unique(code, return_index=True, return_inverse=True)
-                place = np.full(len(ids), -1, dtype=np.int64)
-                place[at] = number
-                self.history.append(kinds // width)
-                self.last.append(kinds % width)
+                at = np.flatnonzero(self.into >= n - 1).astype(np.int32)
+                code = self.place[-1][at - 1].astype(np.int64)
+                code *= width
+                code += ids[at]
+                by = np.argsort(code, kind="stable").astype(np.int32)
+                code = code[by]
+                fresh = np.ones(len(code), dtype=bool)
+                np.not_equal(code[1:], code[:-1], out=fresh[1:])
+                kinds, first = code[fresh], by[fresh]
+                del code
+                number = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+                place = np.full(len(ids), -1, dtype=np.int32)
+                place[at[by]] = number
+                self.history.append((kinds // width).astype(np.int32))
+                self.last.append((kinds % width).astype(np.int32))
                 self.suffix.append(self.place[n - 2][at[first]])
                 self.place.append(place)
+                del at, by, fresh, kinds, first, number
                 self.hash.append(common.mix(self.hash[-1][self.history[-1]] * np.uint64(0x9E3779B97F4A7C15) + names[self.last[-1]] + np.uint64(n)))
-        self.rank = [np.argsort(h, kind="stable") for h in self.hash]
+        self.rank = [np.argsort(h, kind="stable").astype(np.int32) for h in self.hash]
 
     def counts(self, which: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram ends at the tokens of ``which``; of the start marks of a text
@@ -132,14 +141,15 @@ class Automaton:
             reach = number[n][np.flatnonzero(ok)] if n < order else (number[n - 1][g.suffix[n - 1][ok]] if n > 1 else np.zeros(width, dtype=np.int64))
             code.append(of * width + g.last[n - 1][ok])
             value.append(np.log10(weights.arc[n - 1][ok]))
-            to.append(reach)
-        order_ = np.argsort(np.concatenate(code), kind="stable")
-        self.code, self.value, self.to, self.width = np.concatenate(code)[order_], np.concatenate(value)[order_], np.concatenate(to)[order_], width
+            to.append(reach.astype(np.int32))
+        code = np.concatenate(code)
+        order_ = np.argsort(code, kind="stable").astype(np.int32)
+        self.code, self.value, self.to, self.width = code[order_], np.concatenate(value)[order_], np.concatenate(to)[order_], width
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and log10 probabilities of one word for each of many readers."""
         total = np.zeros(len(state))
-        state = state.copy()
+        state = state.astype(np.int64)  # codes of arcs exceed 32 bits
         left = np.arange(len(state))
         arc = np.empty(len(state), dtype=np.int64)
         while len(left):
@@ -287,8 +297,16 @@ def _score(order: int, n: int, v: int, discount: float):
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         grams, train = _block(rows, order)
-        total, _ = _totals(grams, answers)
+        total, speaks = _totals(grams, answers)
+        del speaks
         weights = Weights(grams, total, n, v, discount)
+        ids = rows.column("docs").combine_chunks().flatten()
+        scored = grams.into >= order - 1
+        text = np.repeat(np.arange(len(grams.lens)), grams.lens)[scored]
+        word = grams.ids[scored]
+        known = np.bincount(text, weights=(total[0] > 0)[word], minlength=len(ids)).astype(np.int64)
+        base = np.bincount(text, weights=np.log10(weights.arc[0])[word], minlength=len(ids))
+        del scored, text, word
         got = exchange.received(answers, {-m: ["<f8"] for m in range(1, order)})
         spare = []
         for m in range(1, order):
@@ -296,13 +314,10 @@ def _score(order: int, n: int, v: int, discount: float):
             asked = grams.rank[m - 1]
             x[asked[total[m - 1][asked] > 0]] = got[-m][0]
             spare.append(x)
+        grams.place = grams.into = grams.hash = grams.rank = None  # what the automaton does not need
+        del total, got
         machine = Automaton(weights, spare)
-        ids = rows.column("docs").combine_chunks().flatten()
-        scored = grams.into >= order - 1
-        text = np.repeat(np.arange(len(grams.lens)), grams.lens)[scored]
-        word = grams.ids[scored]
-        known = np.bincount(text, weights=(total[0] > 0)[word], minlength=len(ids)).astype(np.int64)
-        base = np.bincount(text, weights=np.log10(weights.arc[0])[word], minlength=len(ids))
+        del weights, spare
         columns = [ids, pa.array(train), pa.array(grams.lens - (order - 1)), pa.array(known), pa.array(np.full(len(ids), n, dtype=np.int64)), pa.array(base), pa.array(machine.read(grams.ids, grams.lens, order))]
         return pa.table(columns, names=names)
 

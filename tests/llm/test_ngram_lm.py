@@ -1,12 +1,13 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from quillon.llm import ngram_lm
+from quillon.llm import common, ngram_lm
 
 
 def counts(lines, order):
@@ -129,3 +130,25 @@ def test_arcs_and_failure_arcs():
 
 def test_empty_table(spark):
     assert ngram_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_block_needs_little_memory_and_wide_codes(spark):
+    rng = np.random.default_rng(0)
+    width, n = 100_000, 600_000  # states times words exceed 32 bits
+    names = common.mix(np.arange(1, width + 1, dtype=np.uint64))
+    ids = rng.integers(2, width, n).astype(np.int32)
+    ids[::1000], ids[999::1000] = 0, 1
+    lens = np.full(n // 1000, 1000)
+    tracemalloc.start()
+    grams = ngram_lm.Grams(ids, lens, names, 2)
+    peak = tracemalloc.get_traced_memory()[1] / n
+    tracemalloc.stop()
+    assert peak < 75, peak
+    counts = grams.counts(np.ones(n, dtype=bool))
+    weights = ngram_lm.Weights(grams, counts, n, width, 0.5)
+    t, s = weights.following(1, np.ones(len(counts[1]), dtype=bool))
+    machine = ngram_lm.Automaton(weights, [t / (1 - s)])
+    got = machine.read(ids, lens, 2)
+    pair = dict(zip(zip(grams.history[1].tolist(), grams.last[1].tolist()), weights.arc[1].tolist()))
+    want = [sum(np.log10(pair[int(a), int(b)]) for a, b in zip(x[:-1], x[1:])) for x in ids.reshape(-1, 1000)[:5]]
+    assert np.allclose(got[:5], want)
