@@ -26,6 +26,7 @@ in the input are packed once each.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -94,7 +95,7 @@ class WordEncoder:
         cut: list[list[str] | None] = []
         for text in batch:
             try:
-                text.encode("latin-1")
+                text.isascii() or text.encode("latin-1")
             except UnicodeEncodeError:
                 plain = False
             else:
@@ -102,7 +103,7 @@ class WordEncoder:
             cut.append(_PIECE.findall(text.lower()) if plain else None)
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
-        new = list(set().union(*(c for c in cut if c)) - self.cache.keys())
+        new = list(set().union(*(c for c in cut if c)).difference(self.cache))  # walks the words, not the cache
         long = {}
         for at in range(0, len(new), 2000):
             long |= self._words(new[at : at + 2000])
@@ -113,6 +114,19 @@ class WordEncoder:
         return [self.whole(t) if c is None else b"".join(map(find, c)) for t, c in zip(batch, cut, strict=True)]
 
 
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of a file; later tasks of a worker find its words encoded."""
+    held = os.stat(path)
+    key = (path, held.st_mtime_ns, held.st_size)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(path)
+    return _ENCODERS[key]
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id,
     cut where they exceed the capacity."""
@@ -120,7 +134,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(path), END_ID.to_bytes(4, "little")
+        encode, end = encoder(path), END_ID.to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)

@@ -73,3 +73,15 @@ def test_query_round_trip(spark):
     assert [r.ids_crc32 for r in long] == [zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()) for s in (0, 2048, 4096)]
     assert len(out) == len(rows) + 2
     assert packing.best_fit_packing(docs.limit(0)).count() == 0
+
+
+def test_words_are_encoded_once_in_a_worker(monkeypatch):
+    path = packing.default_tokenizer()
+    first = packing.encoder(path)
+    texts = ["some words, twice some words", "été 12 " + "w" * 100, "naïve <|endoftext|> text", "漢字 and words", ""]
+    want = [first.whole(t) for t in texts]
+    assert first(texts) == want
+    asked = []
+    monkeypatch.setattr(first, "_words", lambda words: asked.extend(words) or {w: first.whole(w) for w in words})
+    assert packing.encoder(path) is first and packing.encoder(path)(texts) == want
+    assert all(len(w) > 64 for w in asked)
