@@ -8,6 +8,7 @@ that setting exists.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -86,6 +87,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a Python worker keeps from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this Python worker keeps from task to task of the operator.  A worker outlives a
+    stage, so what it kept for other operators is let go and its memory given back."""
+    if others := _KEPT.keys() - {operator}:
+        for other in others:
+            del _KEPT[other]
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+    return _KEPT.setdefault(operator, {})
+
+
 def remainder(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -70,6 +70,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("near_copies")
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 batch = whole.slice(at, 100)
@@ -110,6 +111,7 @@ def stored_sets(docs: DataFrame, asked: DataFrame, shingle: int = simhash.SHINGL
     bitmap = _bitmap(asked, "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("near_copies")
         seen: set[int] = set()
         for batch in batches:
             hashes = batch.column(0).to_numpy()
@@ -148,6 +150,7 @@ def _similar(similarity: float):
     components."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        common.kept("near_copies")
         within = key[1].as_py() == key[2].as_py()
         node, part, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
         size = group.column("n").to_numpy().astype(np.int64)

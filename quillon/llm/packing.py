@@ -114,17 +114,16 @@ class WordEncoder:
         return [self.whole(t) if c is None else b"".join(map(find, c)) for t, c in zip(batch, cut, strict=True)]
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The encoder of a file; later tasks of a worker find its words encoded."""
+    """The encoder of a file; later tasks of a worker find its words encoded, until the worker
+    takes up another operator."""
     held = os.stat(path)
     key = (path, held.st_mtime_ns, held.st_size)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(path)
-    return _ENCODERS[key]
+    encoders = common.kept("packing")
+    if key not in encoders:
+        encoders.clear()
+        encoders[key] = WordEncoder(path)
+    return encoders[key]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in common.texts(batch, "text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
@@ -178,12 +179,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT)
     groups = choose_groups(nodes.count(), radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("simhash")
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             names = cells(fps.view(np.uint64), radius, groups)
             yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), pa.array(np.repeat(fps, names.shape[1]))], names=["cell", "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("simhash")
         cell, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
             cell.append(batch.column(0).to_numpy(zero_copy_only=False))

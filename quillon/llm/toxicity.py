@@ -403,6 +403,7 @@ def score_batches(model: Model | None, column: int, extend):
     """A mapInArrow function: ``extend(batch, score, worst window)`` makes each output batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("toxicity")
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 250)

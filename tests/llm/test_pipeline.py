@@ -1,9 +1,11 @@
+import weakref
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from quillon.llm import packing
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +96,20 @@ def test_run_is_its_stages(spark, source):
     assert size.where("n > 2048 or n <> end").count() == 0
 
 
+def test_a_worker_lets_go_of_encoded_words_when_packing_is_over(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"some words of text {k % 3} " * 9) for k in range(12)], "doc_id long, text string")
+    ran, run = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: ran.append(f) or run(self, f, *a))
+    near = cp.near_duplicates_out(spark, docs, "")
+    ran.append(cp.toxicity.score_batches(None, 0, None))
+    assert near.count() == 3 and len(ran) >= 6
+    for f in ran:
+        held = weakref.ref(packing.encoder(packing.default_tokenizer()))
+        assert packing.encoder(packing.default_tokenizer()) is held()
+        list(f(iter([])))
+        assert held() is None, f
+
+
 def test_registered():
     import __spark_entry__ as e
 
