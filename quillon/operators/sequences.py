@@ -65,11 +65,12 @@ def pack(df: DataFrame, shard: str, order: list[str], length: str, limit: int) -
     """Greedy packing within each shard: a sample joins the open pack while the sum stays
     within the limit, else it opens the next; a sample over the limit has its own pack.
     A shard is one group of rows (order and length alone), so shards must be bounded; the
-    packs are found by one search in its running sums each."""
+    packs are found by one search in its running sums each.  ``place`` counts the rows of a
+    shard from 0; nulls come last, and rows of one order go by length."""
     rows = df.select(shard, *order, length)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order], null_placement="at_start"))
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in (*order, length)], null_placement="at_end"))
         total = np.cumsum(table[length].fill_null(0).to_numpy().astype(np.int64))
         packs, at, number = np.zeros(len(total), np.int32), 0, 0
         while at < len(total):
@@ -77,20 +78,30 @@ def pack(df: DataFrame, shard: str, order: list[str], length: str, limit: int) -
             end = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
             packs[at:end] = number
             at, number = end, number + 1
-        return table.append_column("pack", pa.array(packs))
+        return table.append_column("pack", pa.array(packs)).append_column("place", pa.array(np.arange(len(total))))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(shard).applyInArrow(run, f"{kinds}, pack int")
+    return rows.groupBy(shard).applyInArrow(run, f"{kinds}, pack int, place bigint")
 
 
 def packed_samples(df: DataFrame, shard: str, order: list[str], limit: int) -> DataFrame:
     """Samples (shard, order, mode, input_ids, labels) joined pack by pack in their order; a
-    pack has the mode of its first sample."""
-    places = pack(df.withColumn("_n", F.size("input_ids")), shard, order, "_n", limit).drop("_n")
-    first = F.array_sort(F.collect_list(F.struct(*order, "mode", "input_ids", "labels"))).alias("_s")
-    g = df.join(places, [shard, *order]).groupBy(shard, "pack").agg(first)
+    pack has the mode of its first sample, and ``samples`` holds the order of each sample,
+    empty ones too.  Samples of one order are told apart by length, then by content.  Nulls
+    are keys like any other; null ids are empty."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    given = [F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) for c in ("input_ids", "labels")]
+    rows = df.select(F.struct(shard, *order).alias("_k"), "mode", *given).withColumn("_n", F.size("input_ids"))
+    # One row a key: a key that repeats must not meet itself.  A struct equals another with the same nulls.
+    places = pack(rows.select("_k.*", "_n"), shard, order, "_n", limit).groupBy(F.struct(shard, *order).alias("_k"))
+    places = places.agg(F.array_sort(F.collect_list(F.struct("place", "pack"))).alias("_at"))
+    ties = Window.partitionBy("_k").orderBy("_n", "mode", "input_ids", "labels")
+    # Sizes of files say nothing of the arrays, so neither side is sent to all tasks.
+    rows = rows.withColumn("_i", F.row_number().over(ties)).join(places.hint("merge"), "_k").withColumn("_at", F.element_at("_at", F.col("_i")))
+    sample = F.struct("_at.place", "mode", "input_ids", "labels", F.struct(*[f"_k.{c}" for c in order]).alias("order"))
+    g = rows.groupBy(f"_k.{shard}", "_at.pack").agg(F.array_sort(F.collect_list(sample)).alias("_s"))
     whole = lambda c: F.flatten(F.transform("_s", lambda x: x[c]))
-    return g.select(shard, "pack", F.element_at("_s", 1)["mode"].alias("mode"), whole("input_ids").alias("input_ids"), whole("labels").alias("labels"))
+    return g.select(shard, "pack", F.element_at("_s", 1)["mode"].alias("mode"), whole("input_ids").alias("input_ids"), whole("labels").alias("labels"), F.transform("_s", lambda x: x["order"]).alias("samples"))
 
 
 def compact(samples: DataFrame) -> DataFrame:

@@ -58,6 +58,20 @@ def test_sequences(spark):
     assert one.split == "val"
 
 
+def test_packed_samples_of_repeated_missing_and_empty(spark):
+    """Each row once, whatever its key and length."""
+    rows = [("s", 1, "a", [1] * 4), ("s", 1, "a", [1] * 4), ("s", 1, "b", [2] * 3), ("s", 2, "a", []), ("s", 3, "a", None), ("s", None, "b", [5] * 9), (None, 1, "a", [6]), (None, None, "b", [7]), ("e", 1, "b", [])]
+    df = spark.createDataFrame([(s, k, m, x, x) for s, k, m, x in rows], "s string, k int, mode string, input_ids array<int>, labels array<int>")
+    got = {(r.s, r.pack): (r.mode, r.input_ids, [x.k for x in r.samples]) for r in sequences.packed_samples(df, "s", ["k"], 10).collect()}
+    assert got == {
+        ("s", 0): ("b", [2] * 3 + [1] * 4, [1, 1]),
+        ("s", 1): ("a", [1] * 4, [1, 2, 3]),
+        ("s", 2): ("b", [5] * 9, [None]),
+        (None, 0): ("a", [6, 7], [1, None]),
+        ("e", 0): ("b", [], [1]),
+    }
+
+
 def test_text(spark):
     df = spark.createDataFrame([("  a b\u0085c\x1cd ", "Grand--Piano!"), ("", "___")], "t string, n string")
     got = df.select(text.collapse(F.col("t")).alias("c"), text.slug(F.col("n"), F.lit("track")).alias("s"), text.byte_tokens(F.col("t")).alias("b")).collect()
