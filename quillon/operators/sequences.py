@@ -91,15 +91,19 @@ def packed_samples(df: DataFrame, shard: str, order: list[str], limit: int) -> D
     are keys like any other; null ids are empty."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     given = [F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) for c in ("input_ids", "labels")]
-    rows = df.select(F.struct(shard, *order).alias("_k"), "mode", *given).withColumn("_n", F.size("input_ids"))
-    # One row a key: a key that repeats must not meet itself.  A struct equals another with the same nulls.
-    places = pack(rows.select("_k.*", "_n"), shard, order, "_n", limit).groupBy(F.struct(shard, *order).alias("_k"))
+    # A struct equals another with the same nulls; its fields are cast to nullable ones, or a join shuffles it again.
+    key = F.struct(shard, *order).cast("struct<" + ", ".join(f"`{c}`: {kinds[c].simpleString()}" for c in (shard, *order)) + ">").alias("_k")
+    rows = df.select(key, "mode", *given).withColumn("_n", F.size("input_ids"))
+    # One row a key: a key that repeats must not meet itself.
+    places = pack(rows.select("_k.*", "_n"), shard, order, "_n", limit).groupBy(key)
     places = places.agg(F.array_sort(F.collect_list(F.struct("place", "pack"))).alias("_at"))
     ties = Window.partitionBy("_k").orderBy("_n", "mode", "input_ids", "labels")
-    # Sizes of files say nothing of the arrays, so neither side is sent to all tasks.
-    rows = rows.withColumn("_i", F.row_number().over(ties)).join(places.hint("merge"), "_k").withColumn("_at", F.element_at("_at", F.col("_i")))
+    # Sizes of files and of packed shuffles say nothing of the arrays: neither side is sent to
+    # all tasks, and numbered partitions are not put together again.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "_k").withColumn("_i", F.row_number().over(ties)).join(places.hint("merge"), "_k").withColumn("_at", F.element_at("_at", F.col("_i")))
     sample = F.struct("_at.place", "mode", "input_ids", "labels", F.struct(*[f"_k.{c}" for c in order]).alias("order"))
-    g = rows.groupBy(f"_k.{shard}", "_at.pack").agg(F.array_sort(F.collect_list(sample)).alias("_s"))
+    g = rows.select(f"_k.{shard}", "_at.pack", sample.alias("_s")).repartition(n, shard, "pack").groupBy(shard, "pack").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
     whole = lambda c: F.flatten(F.transform("_s", lambda x: x[c]))
     return g.select(shard, "pack", F.element_at("_s", 1)["mode"].alias("mode"), whole("input_ids").alias("input_ids"), whole("labels").alias("labels"), F.transform("_s", lambda x: x["order"]).alias("samples"))
 
